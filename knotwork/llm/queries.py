@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import canon, encode, leak, neardup, split
+from knotwork.llm import canon, encode, leak, neardup, split, vectors
 from knotwork.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.close_pairs(table(spark, d, "chunks", "chunk_id", "vector"), "chunk_id", 0.93)
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest of every row whose hash of the id is divisible by 50, out of all rows."""
+    near, _ = vectors.nearest(table(spark, d, "chunks", "chunk_id", "vector"), "chunk_id", every=50)
+    paths = table(spark, d, "chunks", "chunk_id", "note_path").groupBy("chunk_id").agg(F.min("note_path").alias("note_path"))
+    return near.join(paths, near["b"] == paths["chunk_id"], "left").select(F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), "note_path", F.round("cosine", 5).alias("cosine"), "place")
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_chunks(table(spark, d, "chunks", "chunk_id", "heading", "text"))
 
@@ -66,7 +77,7 @@ def p8_scrubbed(spark: SparkSession, d: str) -> DataFrame:
     return leak.scrub(table(spark, d, "documents", "doc_id", "text", "boxes"), _leaks(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_mapped, p6_found, p6_groups, p7_ids, p7_decoded, p8_found, p8_spans, p8_scrubbed)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_mapped, p6_found, p6_groups, p7_ids, p7_decoded, p8_found, p8_spans, p8_scrubbed)}
 
 ORACLE = {
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
