@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import canon, encode, leak, neardup, split, vectors
+from knotwork.llm import canon, encode, leak, neardup, quality, split, vectors
 from knotwork.sources.tables import table
 
 
@@ -77,8 +77,36 @@ def p8_scrubbed(spark: SparkSession, d: str) -> DataFrame:
     return leak.scrub(table(spark, d, "documents", "doc_id", "text", "boxes"), _leaks(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_mapped, p6_found, p6_groups, p7_ids, p7_decoded, p8_found, p8_spans, p8_scrubbed)}
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The kind of every document that is not blank, prose included."""
+    return quality.classify(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "common_words", "word")).select("doc_id", "kind")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_kinds(spark, d).where("kind <> 'prose'")
+
+
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "common_words", "word"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_pieces, p4_found, p4_mapped, p6_found, p6_groups, p7_ids, p7_decoded, p8_found, p8_spans, p8_scrubbed, p9_found, p9_kinds, p9_stats)}
+
+_RATIO = "CASE WHEN {b} > 0 THEN round({a}::DOUBLE / {b}, 6) END AS {name}"
 
 ORACLE = {
+    "p9_stats": r"""
+WITH parts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\r\n]+', '', 'g') AS solid,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \t\r\n]+')) AS n,
+    list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_replace(s, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda s: s <> '') AS lines,
+    regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') AS runs FROM documents),
+common AS (SELECT list(DISTINCT lower(word)) AS ws FROM common_words WHERE trim(word) <> ''),
+counted AS (
+  SELECT doc_id, n, length(solid) AS chars, length(regexp_replace(solid, '[\p{L}\p{N}]+', '', 'g')) AS marks, len(lines) AS nl,
+    len(list_filter(lines, lambda s: regexp_matches(s, '[.!?]["''”)\]]*$'))) AS ends, len(runs) AS nr, len(list_filter(runs, lambda w: list_contains(ws, w))) AS known FROM parts, common)
+SELECT doc_id, n::BIGINT AS word_count, """
+    + ", ".join(_RATIO.format(a=a, b=b, name=n) for a, b, n in (("chars", "n", "mean_word_length"), ("marks", "chars", "symbol_ratio"), ("ends", "nl", "punct_line_share"), ("known", "nr", "common_word_share")))
+    + " FROM counted",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
