@@ -44,7 +44,7 @@ def comma_list(text: Column | str) -> Column:
 
 def inline_tags(text: Column | str, also: Column | None = None) -> Column:
     """Sorted distinct tags of a body (code is masked by the caller), with those of the frontmatter."""
-    found = F.regexp_extract_all(mask_links(text), F.lit("(?m)" + TAG.replace("^", r"\A", 1)), F.lit(1))
+    found = F.regexp_extract_all(mask_links(text), F.lit(TAG), F.lit(1))
     found = F.filter(F.transform(found, lambda t: F.regexp_replace(t, r"[.,;!?:]+$", "")), lambda t: t != "")
     return F.array_sort(F.array_distinct(F.array_union(found, also) if also is not None else found))
 

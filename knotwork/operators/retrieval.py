@@ -143,8 +143,8 @@ def knn_join(docs: DataFrame, k: int | None, floor: float | None = None, block:
     Rows are cut into blocks; every pair of blocks is one matrix product in one cell, so no cell grows with the
     data and no pair of rows is made unless it can be among the k best of its block or reaches the floor.
     """
-    base = docs.where(usable(vector, dim)).select(F.col(id_column).alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    asked = base if queries is None else queries.where(usable(vector, dim)).select(F.col(id_column).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    base = docs.where(usable(vector, dim)).select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = base if queries is None else queries.where(usable(vector, dim)).select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     n_base, n_asked = base.count(), asked.count()
     nb, na = max(1, -(-n_base // block)), max(1, -(-n_asked // block))
 
@@ -164,7 +164,7 @@ def knn_join(docs: DataFrame, k: int | None, floor: float | None = None, block:
         qa, ba = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(qa) or not len(ba):
             return pa.table({"a": ids[:0], "b": ids[:0], "similarity": pa.array([], pa.float64())})
-        s = x[qa].astype(np.float64) @ x[ba].T.astype(np.float64)
+        s = x[qa] @ x[ba].T
         if k is not None and k < len(ba):
             p = np.argpartition(-s, k - 1, axis=1)[:, :k]
             edge = np.take_along_axis(s, p, 1).min(axis=1)
