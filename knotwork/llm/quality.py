@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import and_, eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +23,15 @@ KINDS = ("prose", "list", "table", "junk")
 FIT_ROWS = 6_000
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-‑][^\W\d_]+)*")
-_FIELD = re.compile(r"\S+")
-_NUMBER = re.compile(r"(?<![^\W\d_])\d[\d.,:½¼¾/]*")
+_DIGIT = re.compile(r"\d")
+_STOP = re.compile(r"[.!?](?=\s|$|[\"”])")
+_NUMBER = re.compile(r"\d(?<![^\W\d_]\d)[\d.,:½¼¾/]*")
 _VOWEL = re.compile(r"[aeiouyäöüàâáéèêíîïóôúûœæAEIOUYÄÖÜÁÉÍÓÚ]")
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxzßñ]{5,}", re.IGNORECASE)
-_BREAK = re.compile(r"[-‐‑¬=­]$")
 _ENTRY = re.compile(r"^\s*(?:[-–—•*·]|\(?\d{1,4}[.)]|[A-Za-z][.)])\s+\S")
-_LEADER = re.compile(r"\.{3,}|\t| {3,}|\s\|\s")
 _END = re.compile(r"[.!?][\"'”’»)\]]*$")
-_LEAD = re.compile(r"(?<!\S)[,.;:!?]+[^\W\d_]")
-_MIXED = re.compile(r"[^\W\d_][^\w\s'’\-‑­.,/:][^\W\d_]")
-_PAUSE = re.compile(r"[,;:]$")
+_LEAD = re.compile(r"\s[,.;:!?]+[^\W\d_]")
+_MIXED = re.compile(r"[^\w\s'’\-‑\xad.,/:](?<=[^\W\d_].)(?=[^\W\d_])")
 
 FEATURES = (
     "words_per_line", "end_share", "letter_share", "digit_share", "symbol_share", "word_length", "common_share", "digit_line_share", "lower_start_share", "distinct_share",
@@ -41,73 +40,110 @@ FEATURES = (
 )
 
 
-def _shape(line: str) -> tuple:
-    """The kinds of the first fields of a line and how many there are, up to 8."""
-    fields = _FIELD.findall(line)
-    kinds = []
-    for f in fields[:8]:
-        if any(c.isdigit() for c in f):
-            kinds.append("9" if not any(c.isalpha() for c in f) else "x")
-        elif any(c.isalpha() for c in f):
-            kinds.append(("A" if f[:1].isupper() else "a") + ("," if f[-1] in ",;:" else ""))
-        else:
-            kinds.append(f[:1])
-    return tuple(kinds)
+class _Known(dict):
+    """Answers by word, worked out once; starts anew when there are too many."""
+
+    def __init__(self, answer, most: int = 300_000):
+        self.answer, self.most = answer, most
+
+    def __missing__(self, key: str):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = x = self.answer(key)
+        return x
+
+
+def _field_kind(f: str) -> str:
+    if any(map(str.isdigit, f)):
+        return "x" if any(map(str.isalpha, f)) else "9"
+    if any(map(str.isalpha, f)):
+        return ("A" if f[:1].isupper() else "a") + ("," if f[-1] in ",;:" else "")
+    return f[:1]
+
+
+_COMMON, _LONG, _SOUND, _RUN, _UPPER, _SINGLE, _INNER = (1 << k for k in range(7))
+
+
+def _word_flags(common: frozenset[str]):
+    def flags(w: str) -> int:
+        low = w.lower()
+        out = _COMMON * (low in common) | _UPPER * w[0].isupper() | _SINGLE * (len(w) == 1)
+        if len(w) >= 4:
+            out |= _LONG | _SOUND * bool(_VOWEL.search(low)) | _RUN * bool(_HARD.search(low))
+        return out | _INNER * (len(w) > 1 and not w.isupper() and not w[1:].islower() and "-" not in w)
+
+    return flags
+
+
+class Measurer:
+    """The numbers named in FEATURES, of texts that are not blank. The whole text counts."""
+
+    def __init__(self, common: frozenset[str]):
+        self.flags, self.kinds = _Known(_word_flags(common)), _Known(_field_kind)
+
+    def __call__(self, text: str) -> list[float]:
+        lines = [s for s in map(str.strip, text.split("\n")) if s]
+        n = len(lines)
+        words = _WORD.findall(text)
+        nw, per = len(words), max(len(words), 1)
+        low = list(map(str.lower, words))
+        counts = Counter(low)
+        flags = list(map(self.flags.__getitem__, words))
+        by_flags = Counter(flags)
+
+        def having(bit: int) -> int:
+            return sum(c for f, c in by_flags.items() if f & bit)
+
+        known = [f & _COMMON for f in flags]
+        fields = [s.split() for s in lines]
+        n_fields = sum(map(len, fields))
+        solid = sum(len(f) for fs in fields for f in fs) or 1
+        letters = sum(map(len, words))
+        digits = len(_DIGIT.findall(text))
+        shapes = [(len(fs) if len(fs) < 8 else 8, *map(self.kinds.__getitem__, fs[:8])) for fs in fields]
+        ended = [bool(_END.search(s[-4:])) for s in lines]
+        flow = sum(1 for a, e, b in zip(lines, ended, lines[1:]) if not e and b[0].islower() and a[-1] not in ";:")
+        numbers = len(_NUMBER.findall(text)) if digits else 0
+        numbered = sum(1 for s in lines if _NUMBER.search(s)) if numbers else 0
+        sizes = list(map(len, lines))
+        mean = sum(sizes) / n
+        long = max(1, having(_LONG))
+        return [
+            nw / n,
+            sum(ended) / n,
+            letters / solid,
+            digits / solid,
+            max(0, solid - letters - digits) / solid,
+            letters / per,
+            sum(known) / per,
+            numbered / n,
+            sum(1 for s in lines if s[0].islower()) / n,
+            len(counts) / per,
+            numbers / n,
+            sum(1 for s in lines if "..." in s or "\t" in s or "   " in s or " | " in s) / n,
+            flow / max(1, n - 1),
+            having(_UPPER) / per,
+            max(counts.values(), default=0) / per,
+            having(_SOUND) / long,
+            having(_RUN) / long,
+            sum(1 for s in lines if _ENTRY.match(s)) / n,
+            sum(1 for s in lines if s[-1] in ",;:") / n,
+            sum(map(eq, shapes, shapes[1:])) / max(1, n - 1),
+            (sum((s - mean) ** 2 for s in sizes) / n) ** 0.5 / mean,
+            nw / max(1, n_fields),
+            sum(map(eq, low, low[1:])) / per,
+            sum(map(and_, known, known[1:])) / per,
+            min(60.0, nw / (1 + len(_STOP.findall(text)))),
+            sum(1 for fs in fields if len(fs) <= 2) / n,
+            having(_SINGLE) / per,
+            len(_LEAD.findall(text)) / per,
+            having(_INNER) / per,
+            len(_MIXED.findall(text)) / per,
+        ]
 
 
 def features(text: str, common: frozenset[str]) -> list[float]:
-    """The numbers named in FEATURES, of a text that is not blank. The whole text counts."""
-    lines = [s.strip() for s in text.split("\n")]
-    lines = [s for s in lines if s]
-    n = len(lines)
-    words = _WORD.findall(text)
-    low = [w.lower() for w in words]
-    nw = len(words)
-    solid = sum(len(s) - s.count(" ") - s.count("\t") for s in lines) or 1
-    letters = sum(map(len, words))
-    digits = sum(c.isdigit() for c in text)
-    counts = Counter(low)
-    known = [w in common for w in low]
-    shapes = [_shape(s) for s in lines]
-    flow = sum(1 for a, b in zip(lines, lines[1:]) if b[:1].islower() and not _END.search(a) and a[-1] not in ";:")
-    ends = sum(1 for s in lines if _END.search(s))
-    sizes = [len(s) for s in lines]
-    mean = sum(sizes) / n
-    numbers = [len(_NUMBER.findall(s)) for s in lines]
-    long = [w for w in low if len(w) >= 4]
-    per = max(nw, 1)
-    return [
-        nw / n,
-        ends / n,
-        letters / solid,
-        digits / solid,
-        max(0, solid - letters - digits) / solid,
-        letters / per,
-        sum(known) / per,
-        sum(1 for k in numbers if k) / n,
-        sum(1 for s in lines if s[:1].islower()) / n,
-        len(counts) / per,
-        sum(numbers) / n,
-        sum(1 for s in lines if _LEADER.search(s)) / n,
-        flow / max(1, n - 1),
-        sum(1 for w in words if w[0].isupper()) / per,
-        max(counts.values(), default=0) / per,
-        sum(1 for w in long if _VOWEL.search(w)) / max(1, len(long)),
-        sum(1 for w in long if _HARD.search(w)) / max(1, len(long)),
-        sum(1 for s in lines if _ENTRY.match(s)) / n,
-        sum(1 for s in lines if _PAUSE.search(s)) / n,
-        sum(1 for a, b in zip(shapes, shapes[1:]) if a == b) / max(1, n - 1),
-        (sum((s - mean) ** 2 for s in sizes) / n) ** 0.5 / mean,
-        nw / max(1, len(_FIELD.findall(text))),
-        sum(1 for a, b in zip(low, low[1:]) if a == b) / per,
-        sum(1 for a, b in zip(known, known[1:]) if a and b) / per,
-        min(60.0, nw / (1 + len(re.findall(r"[.!?](?=\s|$|[\"”])", text)))),
-        sum(1 for s in lines if len(_FIELD.findall(s)) <= 2) / n,
-        sum(1 for w in words if len(w) == 1) / per,
-        len(_LEAD.findall(text)) / per,
-        sum(1 for w in words if len(w) > 1 and not w.isupper() and not w[1:].islower() and "-" not in w) / per,
-        len(_MIXED.findall(text)) / per,
-    ]
+    return Measurer(common)(text)
 
 
 def rule(x: np.ndarray) -> np.ndarray:
@@ -231,16 +267,18 @@ def train(texts: list[str], common: frozenset[str]) -> BoostedTrees:
     document checked by hand; the others of these set the temperature."""
     from knotwork.llm.holdout import CHECKED
 
-    x = np.array([features(t, common) for t in texts]).reshape(-1, len(FEATURES))
+    measure = Measurer(common)
+    texts = [t for t in texts if t.strip()]
+    x = np.array([measure(t) for t in texts]).reshape(-1, len(FEATURES))
     y = rule(x)
     prose = [t for t, k in zip(texts, y) if k == 0][:150]
     made = [spoiled(t, i % 3) for i, t in enumerate(prose)]
     own = [(t, KINDS.index(k)) for t, k in CHECKED]
     more = [(t, 3) for t in made] + own[1::2] * 3
-    x = np.concatenate([x[y >= 0], np.array([features(t, common) for t, _ in more])])
+    x = np.concatenate([x[y >= 0], np.array([measure(t) for t, _ in more])])
     y = np.concatenate([y[y >= 0], [k for _, k in more]])
     held = own[::2]
-    return BoostedTrees(len(KINDS)).fit(x, y).calibrate(np.array([features(t, common) for t, _ in held]), np.array([k for _, k in held]))
+    return BoostedTrees(len(KINDS)).fit(x, y).calibrate(np.array([measure(t) for t, _ in held]), np.array([k for _, k in held]))
 
 
 def common_words(words: DataFrame) -> frozenset[str]:
@@ -260,7 +298,7 @@ def classify(docs: DataFrame, words: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
     """
     sc = docs.sparkSession.sparkContext
     common = common_words(words)
-    usable = docs.where(r"text RLIKE '\S'").select("doc_id", "text")
+    usable = docs.where(F.col("text").rlike(r"(?U)\S")).select("doc_id", "text")
     total = docs.count()
     part = min(1.0, fit_rows / max(1, total))
     some = usable.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(9)), F.lit(1_000_000)) < int(part * 1_000_000)).select("text").limit(2 * fit_rows)
@@ -268,10 +306,12 @@ def classify(docs: DataFrame, words: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, common = model.value
+        measure = Measurer(common)
         for b in batches:
             if not len(b):
                 continue
-            x = np.array([features(t, common) for t in b.column(1).to_pylist()])
+            b = b.filter(pa.array([bool(t.strip()) for t in b.column(1).to_pylist()]))
+            x = np.array([measure(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             p = trees.probabilities(x)
             best = p.argmax(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([KINDS[k] for k in best]), pa.array(p[np.arange(len(p)), best])], ["doc_id", "kind", "probability"])
