@@ -113,6 +113,7 @@ class Deletes:
     def __init__(self, strings: Iterable[str]):
         self.by: dict[str, list[str]] = {}
         self.all = set(strings)
+        self.longest = max(map(len, self.all), default=0)
         for s in self.all:
             for d in deletes(s):
                 self.by.setdefault(d, []).append(s)
@@ -122,6 +123,8 @@ class Deletes:
         if s in self.all:
             return {s: 0.0}
         most = edits_allowed(len(s))
+        if len(s) > self.longest + most:  # nothing is near, and very long values cost nothing
+            return {}
         found: set[str] = set()
         for d in deletes(s, most):
             found.update(self.by.get(d, ()))

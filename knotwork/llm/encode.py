@@ -58,11 +58,14 @@ class MergeAutomaton:
         self.table: dict[int, bool] = {}
         for rank, (a, b, c) in enumerate(merges):
             self._gadget(rank, a, b, c)
+        #: Tokens that no arc is labelled with never come out, whatever the text.
+        made = {c for _, _, c in merges}
+        self.ids = {x: i for x, i in self.ids.items() if i not in made or i in self.born}
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
-        self.blocked.setdefault(a << _SHIFT | b, rank)
-        if c not in self.born:
+        if c not in self.born and self._leaves(a, b):
             self.born[c], self.head[c], self.tail[c] = rank, a, b
+        self.blocked.setdefault(a << _SHIFT | b, rank)
 
     def arc(self, state: int, token: int) -> bool:
         """Whether token may follow in this state; from the table, else worked out once."""
