@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 SPACE = " \t\r\n"
 _WORD = re.compile(r"[^ \t\r\n]+")
-_SECTION = re.compile(r"(?:\r\n|\r|\n)(?=#{1,6}[ \t])")
-_PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)(?:[ \t]*(?:\r\n|\r|\n))+")
+_LINE_END = r"(?:\r\n|\r(?!\n)|\n)"
+_SECTION = re.compile(_LINE_END + r"(?=#{1,6}[ \t])")
+_PARAGRAPH = re.compile(_LINE_END + r"(?:[ \t]*" + _LINE_END + ")+")
 _SENTENCE = re.compile(r"[.!?][\"')\]”]*[ \t\r\n]+")
 
 Span = tuple[int, int]

@@ -44,6 +44,8 @@ def test_cuts_are_natural():
         ("a " * 300 + "end.”) " + "b " * 300, "sentence"),
         ("a " * 300 + "end." + "b " * 300, "word"),
         ("a " * 300 + "\n" + "b " * 300, "word"),
+        ("a " * 300 + "\r\n" + "b " * 300, "word"),
+        ("a " * 300 + "\r\n\r\n" + "b " * 300, "paragraph"),
         ("a " * 700, "word"),
     ],
 )
