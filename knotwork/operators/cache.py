@@ -9,7 +9,7 @@ import threading
 import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.config import Settings
@@ -103,11 +103,8 @@ def surplus(n: int, most: int) -> int:
 
 
 def lru_victims(entries: DataFrame, most: int) -> DataFrame:
-    """cache_key of the entries(cache_key, last_accessed_at) that go."""
-    n = entries.agg(F.count(F.lit(1)).alias("n"))
-    drop = F.when(F.col("n") > most, F.greatest(F.lit(1), F.col("n") - most + int(most * 0.1))).otherwise(0)
-    place = F.row_number().over(Window.orderBy("last_accessed_at", "cache_key"))
-    return entries.withColumn("place", place).crossJoin(F.broadcast(n)).where(F.col("place") <= drop).select("cache_key")
+    """cache_key of the entries(cache_key, last_accessed_at) that go: a count, then a top-k without a global sort."""
+    return entries.orderBy("last_accessed_at", "cache_key").limit(surplus(entries.count(), most)).select("cache_key")
 
 
 def dependents(needs: DataFrame, changed: DataFrame) -> DataFrame:

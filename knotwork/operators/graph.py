@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.config import clamp
@@ -94,14 +94,32 @@ def bridge(links: DataFrame, notes: DataFrame, source: str, target: str, most: i
     return spark.createDataFrame([result or (source, target, False, -1, [])], schema)
 
 
-def context(graph: Graph, identifier: str) -> DataFrame:
-    """One row about a note: path, tags, outgoing, backlinks and notes two hops away (neither linked nor itself), sorted."""
+def context_rows(graph: Graph, identifier: str) -> DataFrame:
+    """kind (tag, outgoing, backlink, two_hops) and value: what stands around a note, each once, as rows.
+
+    Stays distributed also for a hub with a third of all links.
+    """
+    focus = find_note(graph.notes, identifier)
+    out = graph.links.join(focus.withColumnRenamed("path", "src"), "src", "left_semi").select(F.lit("outgoing").alias("kind"), F.col("dst").alias("value"))
+    back = graph.links.join(focus.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.lit("backlink").alias("kind"), F.col("src").alias("value"))
+    tags = graph.note_tags.join(focus, "path", "left_semi").select(F.lit("tag").alias("kind"), F.col("tag").alias("value"))
+    far = hops(graph.links, focus, 2).where("hop = 2").select(F.lit("two_hops").alias("kind"), F.col("path").alias("value"))
+    return out.unionByName(back).unionByName(tags).distinct().unionByName(far)
+
+
+def context(graph: Graph, identifier: str, most: int = 1000) -> DataFrame:
+    """One row about a note for display: path and sorted lists of context_rows(), each of at most its first `most` values.
+
+    n_backlinks and the like give the full counts. Lists are for reading; use context_rows() for all of them.
+    """
     focus = find_note(graph.notes, identifier)
-    out = graph.links.join(focus.withColumnRenamed("path", "src"), "src", "left_semi").agg(F.array_sort(F.collect_set("dst")).alias("outgoing"))
-    back = graph.links.join(focus.withColumnRenamed("path", "dst"), "dst", "left_semi").agg(F.array_sort(F.collect_set("src")).alias("backlinks"))
-    tags = graph.note_tags.join(focus, "path", "left_semi").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    far = hops(graph.links, focus, 2).where("hop = 2").agg(F.array_sort(F.collect_set("path")).alias("neighbours_2hop"))
-    return focus.crossJoin(F.broadcast(out)).crossJoin(F.broadcast(back)).crossJoin(F.broadcast(tags)).crossJoin(F.broadcast(far))
+    rows = context_rows(graph, identifier)
+    # the first values of each kind come from partial limits, so that no list is made of more than those
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("value"))).where(F.col("n") <= most)
+    names = {"tag": "tags", "outgoing": "outgoing", "backlink": "backlinks", "two_hops": "neighbours_2hop"}
+    lists = first.agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("value")))).alias(n) for k, n in names.items()])
+    counts = rows.agg(*[F.count_if(F.col("kind") == k).alias(f"n_{n}") for k, n in names.items()])
+    return focus.crossJoin(F.broadcast(lists)).crossJoin(F.broadcast(counts))
 
 
 def hubs(graph: Graph, limit: int = 10) -> DataFrame:

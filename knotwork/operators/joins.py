@@ -22,6 +22,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     right is broadcast if its measured size allows. Otherwise rows of left under a hot key
     (more than hot_share of all rows; there are at most 1 / hot_share of them) are spread over
     salts, and only the rows of right under those keys are replicated as often.
+    Salts come from the row's own values, so a task run again sends its rows the same way.
     Null keys of left find nothing.
     """
     rows, size_bytes = size or measured(right, key)
@@ -30,6 +31,6 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
     total = left.count()
     hot = F.broadcast(counts.where(F.col("count") > hot_share * max(total, 1)).select(key, F.lit(True).alias("__hot")))
-    spread = left.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), (F.rand(7) * salts).cast("int")).otherwise(F.lit(0)))
+    spread = left.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns, F.lit(7)), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     copies = right.join(hot, key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return spread.drop("__hot").join(copies.drop("__hot"), [key, "__salt"], how).drop("__salt")

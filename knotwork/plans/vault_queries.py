@@ -187,11 +187,10 @@ def shortest_path(spark, d):
     return g.bridge(graph.links, graph.notes, top_hub(spark, d)[0], last_hub(spark, d)).withColumn("path", F.array_join("path", " > "))
 
 
-@query(_HOPS + """SELECT f.path, (SELECT string_agg(DISTINCT dst, '|' ORDER BY dst) FROM links WHERE src = f.path) AS outgoing, (SELECT string_agg(DISTINCT src, '|' ORDER BY src) FROM links WHERE dst = f.path) AS backlinks,
-(SELECT string_agg(tag, '|' ORDER BY tag) FROM tags t WHERE t.path = f.path) AS tags, (SELECT count(*) FROM h2) AS n_2hop FROM focus f""")
+@query(_HOPS + """SELECT 'outgoing' AS kind, dst AS value FROM links WHERE src IN (FROM focus) UNION SELECT 'backlink', src FROM links WHERE dst IN (FROM focus)
+UNION SELECT 'tag', tag FROM tags WHERE path IN (FROM focus) UNION SELECT 'two_hops', path FROM h2""")
 def note_context(spark, d):
-    joined = lambda c: F.nullif(F.array_join(c, "|"), F.lit("")).alias(c)
-    return g.context(graph_now(spark, d), top_hub(spark, d)[0]).select("path", joined("outgoing"), joined("backlinks"), joined("tags"), F.size("neighbours_2hop").cast("bigint").alias("n_2hop"))
+    return g.context_rows(graph_now(spark, d), top_hub(spark, d)[0])
 
 
 @query(_G + ", f AS (SELECT path, CASE WHEN lower(regexp_replace(string_split(path, '/')[-1], '(.)\\.[^./]*$', '\\1')) = lower((SELECT title FROM top_hub)) OR lower(title) = lower((SELECT title FROM top_hub)) THEN 1 END AS how FROM alln) SELECT min(path) AS path FROM f WHERE how = 1 HAVING min(path) IS NOT NULL")

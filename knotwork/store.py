@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, list[DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +35,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._knotwork_path = path
+    _made.setdefault(spark.sparkContext.applicationId, []).append(out)
     return out
 
 
+def drop_all_written(spark: SparkSession) -> int:
+    """Deletes every table that written() made in this session; call it when their results are stored. How many."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for df in made:
+        drop_written(df)
+    return len(made)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing reads any more."""
     path = getattr(df, "_knotwork_path", None)

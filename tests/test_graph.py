@@ -35,7 +35,10 @@ def test_overview_and_context(small):
     assert g.stats(small).first().asDict() == {"notes": 4, "unresolved": 0, "tags": 2, "tagged_with": 3, "folders": 0, "links": 2, "contained_in": 0}
     assert {r["path"]: r["backlinks_count"] for r in g.hubs(small).collect()} == {"B": 1, "C": 1}
     r = g.context(small, "b").first()
-    assert (r["backlinks"], r["outgoing"], r["tags"], r["neighbours_2hop"]) == (["A"], ["C"], ["x", "y"], [])
+    assert (r["backlinks"], r["outgoing"], r["tags"], r["neighbours_2hop"], r["n_tags"]) == (["A"], ["C"], ["x", "y"], [], 2)
+    assert {tuple(x) for x in g.context_rows(small, "C").collect()} == {("backlink", "B"), ("two_hops", "A")}
+    one = g.context(small, "B", 1).first()
+    assert (one["tags"], one["n_tags"]) == (["x"], 2)
     assert [tuple(x) for x in g.tag_counts(small.note_tags, 5).collect()] == [("x", 2), ("y", 1)]
     assert [x["path"] for x in g.tagged(small, "x").collect()] == ["A", "B"] and g.tagged(small, "X").count() == 0
 

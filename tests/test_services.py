@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -90,6 +91,7 @@ def test_debounce_stream(spark, tmp_path):
     src.mkdir()
     for k, at in enumerate((0, 1, 60, 200)):
         (src / f"{k}.json").write_text(json.dumps({"path": "n", "ts": (T0 + timedelta(seconds=at)).isoformat()}))
+        os.utime(src / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # files are taken in order of their times
     stream = spark.readStream.schema("path string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(src))
     q = sync.debounce(stream).writeStream.format("memory").queryName("bursts").outputMode("append").start()
     q.processAllAvailable()
