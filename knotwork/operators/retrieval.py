@@ -141,18 +141,22 @@ def knn_join(docs: DataFrame, k: int | None, floor: float | None = None, block:
     """a, b, similarity, rank: exact nearest rows by dot product, a itself included, of at least the floor.
 
     Rows are cut into blocks; every pair of blocks is one matrix product in one cell, so no cell grows with the
-    data and no pair of rows is made unless it can be among the k best of its block or reaches the floor.
+    data and no pair of rows is made unless it can be among the k best of its block or reaches the floor. Without k and
+    queries, each pair of blocks is multiplied once.
     """
     base = docs.where(usable(vector, dim)).select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked = base if queries is None else queries.where(usable(vector, dim)).select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     n_base, n_asked = base.count(), asked.count()
     nb, na = max(1, -(-n_base // block)), max(1, -(-n_asked // block))
+    # all rows against all by a floor: each pair of blocks once
+    mirror = queries is None and k is None
 
     def placed(df: DataFrame, n: int, other: int, side: int) -> DataFrame:
         own = F.pmod(F.xxhash64("id"), F.lit(n))
-        copies = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        low, high = (F.col("own"), F.lit(other - 1).cast("bigint")) if mirror and side == 0 else (F.lit(0).cast("bigint"), F.col("own") if mirror else F.lit(other - 1).cast("bigint"))
+        rows = df.withColumn("own", own).withColumn("copy", F.explode(F.sequence(low, high)))
         cell = (F.col("own") * nb + F.col("copy")) if side == 0 else (F.col("copy") * nb + F.col("own"))
-        return df.withColumn("own", own).withColumn("copy", copies).select(cell.alias("cell"), F.lit(side).alias("side"), "id", "v")
+        return rows.select(cell.alias("cell"), F.lit(side).alias("side"), "id", "v")
 
     kind = dict(base.dtypes)["id"]
     rows = placed(asked, na, nb, 0).unionByName(placed(base, nb, na, 1))
@@ -160,11 +164,11 @@ def knn_join(docs: DataFrame, k: int | None, floor: float | None = None, block:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
         ids = t.column("id").combine_chunks()
-        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        vectors = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         qa, ba = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(qa) or not len(ba):
             return pa.table({"a": ids[:0], "b": ids[:0], "similarity": pa.array([], pa.float64())})
-        s = x[qa] @ x[ba].T
+        s = vectors[qa] @ vectors[ba].T
         if k is not None and k < len(ba):
             p = np.argpartition(-s, k - 1, axis=1)[:, :k]
             edge = np.take_along_axis(s, p, 1).min(axis=1)
@@ -174,7 +178,11 @@ def knn_join(docs: DataFrame, k: int | None, floor: float | None = None, block:
         if floor is not None:
             keep &= s >= floor
         i, j = np.nonzero(keep)
-        return pa.table({"a": ids.take(pa.array(qa[i])), "b": ids.take(pa.array(ba[j])), "similarity": pa.array(s[i, j])})
+        v, x, y = s[i, j], qa[i], ba[j]
+        cell = key[0].as_py()
+        if mirror and cell // nb != cell % nb:
+            v, x, y = np.concatenate([v, v]), np.concatenate([x, y]), np.concatenate([y, x])
+        return pa.table({"a": ids.take(pa.array(x)), "b": ids.take(pa.array(y)), "similarity": pa.array(v)})
 
     found = rows.groupBy("cell").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
 

@@ -16,6 +16,7 @@ from knotwork.functions.relations import parsed_relation
 from knotwork.functions.text import pair_key, token_estimate
 from knotwork.operators import graph as g
 from knotwork.operators import relatedness as rel
+from knotwork.store import written
 
 #: Tokens of the frame and of the answer of a request.
 FRAME_TOKENS, ANSWER_TOKENS = 150, 120
@@ -47,13 +48,14 @@ def gaps(chunks: DataFrame, graph: g.Graph, inferred: DataFrame | None = None, d
     and were not dismissed. chunks(id, note, text, vector); inferred(src, dst, ...); dismissed(key)."""
     s = settings or Settings()
     floor = s.cosine_floor if floor is None else floor
-    pairs = rel.candidate_notes(chunks, floor, knn, focus, dim)
+    near = written(rel.near_chunks(chunks, floor, knn, focus, dim), "near-chunks")
+    pairs = near.select("a", "b").distinct()
     pairs = pairs.join(near_pairs(graph.links, pairs, max(1, min(5, s.graph_distance_threshold))), ["a", "b"], "left_anti")
     if inferred is not None:
         pairs = pairs.join(g.inferred_pairs(inferred), ["a", "b"], "left_anti")
     if dismissed is not None:
         pairs = pairs.withColumn("key", pair_key("a", "b")).join(dismissed.select("key"), "key", "left_anti").drop("key")
-    scored = rel.score_pairs(pairs, chunks, floor, s.reuse_discount, dim, with_evidence)
+    scored = rel.score_pairs(pairs, chunks, floor, s.reuse_discount, dim, with_evidence, near if knn is None else None)
     return scored.where(F.col("final_score") >= s.similarity_threshold)
 
 
@@ -62,8 +64,6 @@ def enrich(found: DataFrame, links: DataFrame, most: int = 10) -> DataFrame:
 
     From every distinct a, levels grow together and keep the smallest way to each note; found pairs leave the search.
     """
-    from knotwork.store import written
-
     edges = written(g.neighbours(links), "edges")
     open_ = written(found.select("a", "b").distinct(), "open-pairs")
     front = open_.select("a").distinct().select("a", F.col("a").alias("at"), F.array("a").alias("way"))

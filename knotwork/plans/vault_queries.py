@@ -476,7 +476,8 @@ def related_candidates(spark, d):
 
 def _scored(spark, d, with_evidence: bool) -> DataFrame:
     unit = written(unit_chunks(spark, d), "unit")
-    return rel.score_pairs(written(rel.candidate_notes(unit), "pairs"), unit, with_evidence=with_evidence)
+    near = written(rel.near_chunks(unit), "near-chunks")
+    return rel.score_pairs(near, unit, with_evidence=with_evidence, near=near)
 
 
 @query(_SCORE + "SELECT a, b, cover_a, cover_b FROM scored")

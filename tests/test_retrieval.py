@@ -155,6 +155,7 @@ def test_relatedness(spark, m, n, shared, kind, matches):
     pairs = rel.candidate_notes(chunks)
     assert [tuple(x) for x in pairs.collect()] == [("A", "B")]
     s = rel.score_pairs(pairs, chunks).first()
+    assert rel.score_pairs(pairs, chunks, near=rel.near_chunks(chunks)).first() == s
     ca, cb, final = plain_score(a, b, np.full(m, 20**0.5), np.full(n, 20**0.5))
     assert (s["kind"], s["n_matches"]) == (kind, matches)
     assert abs(s["cover_a"] - ca) < 1e-4 and abs(s["cover_b"] - cb) < 1e-4 and abs(s["final_score"] - final) < 1e-4
