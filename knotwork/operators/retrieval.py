@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from knotwork.config import HOP_FACTORS, Settings
 from knotwork.functions.text import search_terms
+from knotwork.store import written
 
 
 class Embedder(Protocol):
@@ -72,11 +73,16 @@ class LexicalIndex:
     totals: DataFrame
 
 
-def lexical_index(docs: DataFrame, id_column: str = "id", text: str = "text") -> LexicalIndex:
-    """Of docs; ids are distinct. Texts without a term count as documents of length 0."""
+def lexical_index(docs: DataFrame, id_column: str = "id", text: str = "text", keep: bool = True) -> LexicalIndex:
+    """Of docs; ids are distinct. Texts without a term count as documents of length 0.
+
+    With keep, postings are a written table, so that documents are split once for any number of queries.
+    """
     split = docs.select(F.col(id_column).alias("id"), search_terms(F.coalesce(text, F.lit(""))).alias("ts")).withColumn("dl", F.size("ts"))
     postings = split.select("id", "dl", F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     totals = split.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    if keep:
+        postings = written(postings, "postings")
     return LexicalIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
 
 

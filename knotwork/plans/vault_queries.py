@@ -67,8 +67,10 @@ def notes_at(spark: SparkSession, d: str, at: str | None) -> DataFrame:
     return alive.groupBy("path").agg(F.max("hash").alias("hash")).withColumn("is_unresolved", F.lit(False))
 
 
-def chunks_now(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks", "chunk_id", "note_path", "note_title", "heading", "text", "vector", "mtime").where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
+def chunks_now(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each chunk once, only with the columns named: duplicates are dropped after the scan is narrowed."""
+    names = columns or ("note_path", "note_title", "heading", "text", "vector", "mtime")
+    return table(spark, d, "chunks", "chunk_id", *names).where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
 
 
 def unit_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +243,7 @@ _CH = "ch AS (SELECT chunk_id, any_value(note_path) AS note_path, any_value(note
 @query("WITH " + _CH + r""", ls AS (SELECT chunk_id, trim(replace(unnest(string_split_regex(text, '\r\n|\r|\n')), chr(9), ' ')) AS s, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) AS line FROM ch WHERE text IS NOT NULL)
 SELECT chunk_id, line::INT AS line, length(regexp_extract(s, '^(#{1,6})\s+(.*)$', 1))::INT AS level, trim(regexp_extract(s, '^(#{1,6})\s+(.*)$', 2)) AS title FROM ls WHERE regexp_matches(s, '^(#{1,6})\s+(.*)$')""")
 def outline_lines(spark, d):
-    return chunks_now(spark, d).select("chunk_id", F.explode(text.outline("text")).alias("x")).select("chunk_id", "x.*")
+    return chunks_now(spark, d, "text").select("chunk_id", F.explode(text.outline("text")).alias("x")).select("chunk_id", "x.*")
 
 
 _LINK = r"(!)?\[\[([^\[\]|\n#]+)?(?:#([^\[\]|\n]+))?(?:\|([^\[\]|\n]+))?\]\]"
@@ -260,7 +262,7 @@ def tag_extract(spark, d):
 
 @query("WITH " + _CH + r""" SELECT chunk_id, md5(regexp_replace(regexp_replace(text, '(?s)```.*?```|~~~.*?~~~', '', 'g'), '`[^`\n]+`', '', 'g')) AS masked FROM ch WHERE text IS NOT NULL""")
 def code_mask(spark, d):
-    return chunks_now(spark, d).where("text IS NOT NULL").select("chunk_id", F.md5(text.mask_code("text")).alias("masked"))
+    return chunks_now(spark, d, "text").where("text IS NOT NULL").select("chunk_id", F.md5(text.mask_code("text")).alias("masked"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents")
@@ -275,12 +277,12 @@ def token_estimates(spark, d):
 
 @query("WITH " + _CH + r""" SELECT chunk_id, trim(regexp_replace(string_split_regex(heading, '\s+>\s+')[-1], '^#+\s*', '')) AS leaf, lower(trim(regexp_replace(regexp_replace(regexp_replace(heading, '^#+\s*', ''), '[*_~`]', '', 'g'), '\s+', ' ', 'g'))) AS plain FROM ch WHERE heading IS NOT NULL""")
 def heading_forms(spark, d):
-    return chunks_now(spark, d).where("heading IS NOT NULL").select("chunk_id", text.leaf_heading("heading").alias("leaf"), text.plain_heading("heading").alias("plain"))
+    return chunks_now(spark, d, "heading").where("heading IS NOT NULL").select("chunk_id", text.leaf_heading("heading").alias("leaf"), text.plain_heading("heading").alias("plain"))
 
 
 @query("WITH " + _CH + r""" SELECT chunk_id, CASE WHEN length(c) > 80 THEN rtrim(left(c, 80)) || '…' ELSE c END AS excerpt FROM (SELECT chunk_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM ch WHERE text IS NOT NULL)""")
 def excerpts(spark, d):
-    return chunks_now(spark, d).where("text IS NOT NULL").select("chunk_id", text.excerpt("text", 80).alias("excerpt"))
+    return chunks_now(spark, d, "text").where("text IS NOT NULL").select("chunk_id", text.excerpt("text", 80).alias("excerpt"))
 
 
 # --- links ---------------------------------------------------------------------------------------------------
@@ -349,11 +351,12 @@ def _hub_queries(spark, d) -> DataFrame:
     return table(spark, d, "hub_notes", "path", "title").where("title IS NOT NULL").select(F.col("path").alias("query_id"), F.col("title").alias("text")).distinct()
 
 
+def _texts(spark, d) -> DataFrame:
+    return table(spark, d, "chunks", "chunk_id", "text").where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
+
+
 def _sparse(spark, d, k: int | None = 20) -> DataFrame:
-    index = r.lexical_index(chunks_now(spark, d), "chunk_id")
-    index = r.LexicalIndex(written(index.postings, "postings"), index.terms, index.totals)
-    index.terms = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return r.bm25(index, _hub_queries(spark, d), k)
+    return r.bm25(r.lexical_index(_texts(spark, d), "chunk_id"), _hub_queries(spark, d), k)
 
 
 def _dense(spark, d, k: int = 20) -> DataFrame:
@@ -415,7 +418,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 def _boosted(spark, d) -> DataFrame:
     graph = graph_now(spark, d)
-    fused = r.fuse(_dense(spark, d), _sparse(spark, d)).join(chunks_now(spark, d).select(F.col("chunk_id").alias("id"), "note_path"), "id")
+    fused = r.fuse(_dense(spark, d), _sparse(spark, d)).join(chunks_now(spark, d, "note_path").select(F.col("chunk_id").alias("id"), "note_path"), "id")
     return r.boost(fused, g.hops(graph.links, graph.notes.where(F.col("path") == top_hub(spark, d)[0]), 2))
 
 
@@ -443,7 +446,8 @@ def hybrid_search_near(spark, d):
     own = hub.join(unit, F.col("path") == F.col("note")).orderBy(F.desc("backlinks_count"), "path", "id").first()
     # the search takes stored vectors as they are, so it is given unit vectors
     chunks = chunks.drop("vector").join(unit.select(F.col("id").alias("chunk_id"), "vector"), "chunk_id", "left")
-    lib = Library(written(chunks, "library"), r.lexical_index(chunks, "chunk_id"), r.HashingEmbedder(64), graph_now(spark, d))
+    kept = written(chunks.select("chunk_id", "note_path", "note_title", "heading", "text", "vector"), "library")
+    lib = Library(kept, r.lexical_index(kept, "chunk_id"), r.HashingEmbedder(64), graph_now(spark, d))
     asked, v = (own["title"], list(own["vector"])) if own else ("", None)
     return search(lib, asked, near=top_hub(spark, d)[0], limit=10, folder="projects", vector=v).select("chunk_id", "note_path", "score", "hop_distance")
 
@@ -536,7 +540,7 @@ def gaps_enriched(spark, d):
 
 @query("WITH " + _CH + " SELECT count(*) AS n_pairs, coalesce(sum(greatest(1, floor(length(text) / 3.8)::INT + 10) + greatest(1, floor(length(coalesce(heading, '')) / 3.8)::INT + 10) + 150), 0)::BIGINT AS prompt_tokens, count(*) * 120 AS completion_tokens FROM ch WHERE text IS NOT NULL")
 def discovery_estimate(spark, d):
-    return discover.estimate(chunks_now(spark, d).where("text IS NOT NULL").select(F.col("text").alias("prompt"), F.coalesce("heading", F.lit("")).alias("system")))
+    return discover.estimate(chunks_now(spark, d, "heading", "text").where("text IS NOT NULL").select(F.col("text").alias("prompt"), F.coalesce("heading", F.lit("")).alias("system")))
 
 
 # --- delta ---------------------------------------------------------------------------------------------------
@@ -690,7 +694,7 @@ pq AS (SELECT query_id, coalesce(round(1 / first, 4), 0) AS rr, coalesce(first,
 
 def _measured(spark, d) -> DataFrame:
     """Hub titles as queries; expected are the notes that link to the hub."""
-    found = _sparse(spark, d, None).join(chunks_now(spark, d).select(F.col("chunk_id").alias("id"), F.col("note_path").alias("note")), "id")
+    found = _sparse(spark, d, None).join(chunks_now(spark, d, "note_path").select(F.col("chunk_id").alias("id"), F.col("note_path").alias("note")), "id")
     hub = table(spark, d, "hub_notes", "path").distinct()
     links = table(spark, d, "resolved_links", "source_path", "target_path").where("trim(source_path) <> ''").distinct()
     expected = links.join(F.broadcast(hub), F.col("target_path") == F.col("path"), "left_semi").select(F.col("target_path").alias("query_id"), F.col("source_path").alias("note"))
