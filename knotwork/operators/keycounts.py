@@ -40,12 +40,18 @@ def key_dictionary(rows: DataFrame, *key: str) -> tuple[DataFrame, int, int]:
         n += r["n"]
     if not n:
         return kept.select(*key, F.lit(0).cast("bigint").alias("__id")), 0, 0
-    offsets = F.create_map(*[F.lit(int(x)).cast("bigint") for kv in starts.items() for x in kv])
-    dense = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) + F.element_at(offsets, part)
-    return kept.select(*key, dense.cast("bigint").alias("__id")), n, sum(r["bytes"] for r in sizes)
+    offsets = F.broadcast(kept.sparkSession.createDataFrame(list(starts.items()), "__part bigint, __start bigint"))
+    dense = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start")
+    return kept.join(offsets, part == F.col("__part")).select(*key, dense.cast("bigint").alias("__id")), n, sum(r["bytes"] for r in sizes)
 
 
-def _count_split(n_keys: int, weighted: bool):
+def _blocks(held: dict[int, np.ndarray], which: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([held.pop(k).tobytes() for k in which], pa.binary())], ["block", "sums"])
+
+
+def _count_split(weighted: bool):
+    """Counts of a split by block. Weighted rows come sorted by id, so all blocks but the last are done after each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
@@ -53,17 +59,18 @@ def _count_split(n_keys: int, weighted: bool):
             if not len(ids):
                 continue
             at, inverse = np.unique(ids // BLOCK, return_inverse=True)
-            weights = b.column(1).to_numpy(zero_copy_only=False) if weighted else None
             flat = inverse * BLOCK + ids % BLOCK
-            sums = np.bincount(flat, minlength=len(at) * BLOCK) if weights is None else _scatter(flat, weights, len(at) * BLOCK)
+            sums = _scatter(flat, b.column(1).to_numpy(zero_copy_only=False), len(at) * BLOCK) if weighted else np.bincount(flat, minlength=len(at) * BLOCK)
             for k, block in enumerate(at.tolist()):
                 part = sums[k * BLOCK : (k + 1) * BLOCK]
                 if block in held:
                     held[block] += part
                 else:
                     held[block] = part.astype(np.int64)
+            if weighted and len(held) > 1:
+                yield _blocks(held, sorted(held)[:-1])
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "sums"])
+            yield _blocks(held, sorted(held))
 
     return run
 
@@ -98,7 +105,8 @@ def dense_key_counts(rows: DataFrame, *key: str) -> DataFrame:
     A null in a key column makes a key of its own; drop such rows before if they are none. Empty
     input gives an empty result. The dictionary is broadcast below the measured bound; beyond it,
     each split's rows are first counted per key (one row a key and split is shuffled, so a hot key
-    has no more rows than there are splits), joined with the dictionary, and scattered with weights.
+    has no more rows than there are splits), joined with the dictionary, brought together by blocks of ids and
+    scattered with weights, one block at a time.
     """
     ids, n_keys, size = key_dictionary(rows, *key)
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
@@ -109,8 +117,8 @@ def dense_key_counts(rows: DataFrame, *key: str) -> DataFrame:
         coded = rows.alias("l").join(F.broadcast(ids).alias("r"), on).select("__id")
     else:
         counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("w"))
-        coded = counted.alias("l").join(ids.alias("r"), on).select("__id", "w")
-    blocks = coded.mapInArrow(_count_split(n_keys, "w" in coded.columns), "block bigint, sums binary")
+        coded = counted.alias("l").join(ids.alias("r"), on).select("__id", "w").repartition(F.floor(F.col("__id") / BLOCK)).sortWithinPartitions("__id")
+    blocks = coded.mapInArrow(_count_split("w" in coded.columns), "block bigint, sums binary")
     lanes = blocks.withColumn("lane", F.spark_partition_id() % LANES)
     first = lanes.groupBy("block", "lane").applyInArrow(_add_blocks(True), "block bigint, sums binary")
     summed = first.groupBy("block").applyInArrow(_add_blocks(False), "block bigint, sums binary")
