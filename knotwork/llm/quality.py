@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("prose", "list", "table", "junk")
-#: Bounds: documents the trees are fitted on, and the least of a kind for it to be learned.
+#: Bound: documents the trees are fitted on.
 FIT_ROWS = 6_000
+#: Prose of the sample that junk is made of, and its greatest length.
+SPOILED, SPOIL_CHARS = 150, 5_000
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-‑][^\W\d_]+)*")
 _DIGIT = re.compile(r"\d")
@@ -262,25 +264,37 @@ def _follow(b: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.ndarr
     return value[node]
 
 
-def train(texts: list[str], common: frozenset[str]) -> BoostedTrees:
-    """Trees from the texts the rules are sure about, junk made of some of their prose, and every second
-    document checked by hand; the others of these set the temperature."""
+def train(x: np.ndarray, texts: list[str], common: frozenset[str]) -> BoostedTrees:
+    """Trees from the features x of the documents that the rules are sure about, junk made of the prose among texts, and every
+    second document checked by hand; the others of these set the temperature."""
     from knotwork.llm.holdout import CHECKED
 
     measure = Measurer(common)
-    texts = [t for t in texts if t.strip()]
-    x = np.array([measure(t) for t in texts]).reshape(-1, len(FEATURES))
+    x = x.reshape(-1, len(FEATURES))
     y = rule(x)
-    prose = [t for t, k in zip(texts, y) if k == 0][:150]
-    made = [spoiled(t, i % 3) for i, t in enumerate(prose)]
+    own_texts = [t for t in texts if t.strip()]
+    kinds = rule(np.array([measure(t) for t in own_texts]).reshape(-1, len(FEATURES)))
+    prose = [t for t, k in zip(own_texts, kinds) if k == 0][:SPOILED]
     own = [(t, KINDS.index(k)) for t, k in CHECKED]
-    more = [(t, 3) for t in made] + own[1::2] * 3
+    more = [(spoiled(t, i % 3), 3) for i, t in enumerate(prose)] + own[1::2] * 3
     x = np.concatenate([x[y >= 0], np.array([measure(t) for t, _ in more])])
     y = np.concatenate([y[y >= 0], [k for _, k in more]])
     held = own[::2]
     return BoostedTrees(len(KINDS)).fit(x, y).calibrate(np.array([measure(t) for t, _ in held]), np.array([k for _, k in held]))
 
 
+def measured(docs: DataFrame, common: frozenset[str]) -> DataFrame:
+    """The features of every text that is not blank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = Measurer(common)
+        for b in batches:
+            rows = [measure(t) for t in b.column(0).to_pylist() if t and t.strip()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
+
+    return docs.select("text").mapInArrow(run, "x array<double>")
+
+
 def common_words(words: DataFrame) -> frozenset[str]:
     """The list on the driver; it is a table of fixed size, and a longer one is refused."""
     got = [r[0].lower() for r in words.where("trim(word) <> ''").select("word").distinct().limit(20_001).collect()]
@@ -301,8 +315,11 @@ def classify(docs: DataFrame, words: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
     usable = docs.where(F.col("text").rlike(r"(?U)\S")).select("doc_id", "text")
     total = docs.count()
     part = min(1.0, fit_rows / max(1, total))
-    some = usable.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(9)), F.lit(1_000_000)) < int(part * 1_000_000)).select("text").limit(2 * fit_rows)
-    model = sc.broadcast((train([r[0] for r in some.collect()], common), common))
+    some = usable.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(9)), F.lit(1_000_000)) < int(part * 1_000_000))
+    # to the driver come numbers, and short texts to make junk of: both of bounded size, however long texts are
+    x = np.array([r[0] for r in measured(some.limit(2 * fit_rows), common).collect()])
+    short = [r[0] for r in some.where(F.length("text") <= SPOIL_CHARS).select("text").limit(3 * SPOILED).collect()]
+    model = sc.broadcast((train(x, short, common), common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, common = model.value

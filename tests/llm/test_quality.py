@@ -30,7 +30,7 @@ def test_trees_learn_a_grid():
 def test_held_out_accuracy():
     """Trained on one half of the checked documents with spoiled prose, judged on documents made otherwise."""
     texts = [t for t, _ in CHECKED] * 3
-    m = q.train(texts, COMMON)
+    m = q.train(np.array([q.features(t, COMMON) for t in texts]), texts, COMMON)
     prose = "Yesterday the old harbour was closed by\nthe council, and our readers may recall that\nthis was done before. A small ferry took\nthe people to the other side of the river."
     table = "wheat 12.5 13.0 14.25\nbarley 9.0 9.5 10.0\noats 7.25 7.5 8.0\nrye 6.0 6.5 7.0"
     got = [q.KINDS[k] for k in m.probabilities(np.array([q.features(t, COMMON) for t in (prose, table, q.spoiled(prose, 0), q.spoiled(prose, 1), q.spoiled(prose, 2))])).argmax(1)]
