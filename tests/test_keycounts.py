@@ -22,8 +22,9 @@ def test_more_keys_than_a_block(spark):
     assert set(got.values()) == {1, 2}
 
 
-def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(k, "BROADCAST_ROWS", 2)
+@pytest.mark.parametrize("held", [2, 30, 200_000])
+def test_the_number_of_keys_held_makes_no_difference(spark, monkeypatch, held):
+    monkeypatch.setattr(k, "HELD_KEYS", held)
     rows = [("x",)] * 900 + [(f"y{i}",) for i in range(50)] + [(None,)] * 4
     df = spark.createDataFrame(rows, "key string").repartition(5)
     assert _counts(k.dense_key_counts(df, "key")) == dict(Counter(rows))
@@ -51,3 +52,19 @@ def test_vault_rows_drop_nulls_blanks_and_replays(spark):
 def test_any_number_of_splits(spark, n):
     df = spark.range(1000).selectExpr("id % 10 AS key").repartition(n)
     assert set(_counts(k.dense_key_counts(df, "key")).values()) == {100}
+
+
+def test_few_batches_of_many_keys_in_a_split():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"key": [f"k{(i * 7 + j) % 50}" for j in range(20)]}) for i in range(9)]
+    got = Counter()
+    for b in k._count_rows(iter(batches)):
+        for key, n in zip(b.column("key").to_pylist(), b.column("w").to_pylist()):
+            got[key] += n
+    assert got == Counter(x for b in batches for x in b.column("key").to_pylist())
+
+
+def test_clashing_column_names(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 3, 4)], "key string, n int, __id int")
+    assert _counts(k.dense_key_counts(df, "key")) == {("a",): 2}
