@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 try:
     import yaml
-except ImportError:  # without a YAML reader, notes count as having no frontmatter
+except ImportError:
     yaml = None
 
 SCHEMA = T.StructType([T.StructField("title", T.StringType()), T.StructField("aliases", T.ArrayType(T.StringType())), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("raw", T.StringType()), T.StructField("body", T.StringType())])
@@ -20,9 +20,11 @@ _CLOSE = re.compile(r"^---\s*$", re.MULTILINE)
 
 
 def split_frontmatter(content: str) -> tuple[dict, str, str]:
-    """(values, raw YAML, body). Malformed or missing frontmatter gives ({}, '', all of it)."""
+    """(values, raw YAML, body). Malformed or missing frontmatter gives ({}, '', all of it). Without a YAML reader, an error."""
+    if yaml is None:
+        raise ImportError("frontmatter needs PyYAML; without it titles, tags, aliases and links would be lost")
     content = content.lstrip("﻿")
-    if yaml is None or not content.startswith("---"):
+    if not content.startswith("---"):
         return {}, "", content
     rest = content[3:]
     close = _CLOSE.search(rest)

@@ -38,10 +38,6 @@ def clean_names(values: Column, strip_hash: bool = False) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.filter(values, lambda x: x.isNotNull()), one), lambda x: x != "")))
 
 
-def comma_list(text: Column | str) -> Column:
-    return F.split(_c(text), ",")
-
-
 def inline_tags(text: Column | str, also: Column | None = None) -> Column:
     """Sorted distinct tags of a body (code is masked by the caller), with those of the frontmatter."""
     found = F.regexp_extract_all(mask_links(text), F.lit(TAG), F.lit(1))
@@ -121,6 +117,12 @@ def parent(path: Column | str) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.lit(""))
 
 
+def note_folder(path: Column | str) -> Column:
+    """The folder a note stands in, without empty steps and single dots; '' at the root."""
+    steps = F.filter(F.split(_c(path), "/"), lambda p: (p != "") & (p != "."))
+    return F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))), "/")
+
+
 def note_title(given: Column | str, path: Column | str, text: Column | str | None = None) -> Column:
     """Title of the frontmatter, else (where headings count) the first heading, else the stem."""
     parts = [F.nullif(F.trim(_c(given)), F.lit(""))]
@@ -167,10 +169,6 @@ def leaf_heading(breadcrumb: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.element_at(F.split(_c(breadcrumb), r"\s+>\s+"), -1), r"^#+\s*", ""))
 
 
-def breadcrumb(levels: Column, titles: Column) -> Column:
-    return F.array_join(F.zip_with(levels, titles, lambda n, t: F.concat(F.repeat(F.lit("#"), n), F.lit(" "), t)), " > ")
-
-
 def heading_and_body(text: Column | str) -> Column:
     """struct(heading, body) of a chunk whose first line may be a heading."""
     t = F.regexp_replace(_c(text), r"^\s+", "")

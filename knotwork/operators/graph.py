@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.config import clamp
-from knotwork.functions.text import file_name, parent, stem
+from knotwork.functions.text import file_name, note_folder, parent, stem
 from knotwork.operators.joins import lookup_join
 from knotwork.store import drop_written, written
 
@@ -143,14 +143,14 @@ def tagged(graph: Graph, tag: str, limit: int = 50) -> DataFrame:
 
 def folders(paths: DataFrame) -> DataFrame:
     """path, name and parent (null at the top) of all folders above the notes of paths(path)."""
-    parts = F.split(parent("path"), "/")
-    up = paths.where(parent("path") != "").select("path", parts.alias("parts")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))).alias("path")).distinct()
+    own = paths.select(note_folder("path").alias("path")).where("path <> ''").distinct().withColumn("steps", F.split("path", "/"))
+    up = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("steps")), lambda n: F.array_join(F.slice("steps", 1, n), "/"))).alias("path")).distinct()
     return up.select("path", file_name("path").alias("name"), F.nullif(parent("path"), F.lit("")).alias("parent"))
 
 
 def contained(paths: DataFrame) -> DataFrame:
     """path and folder of the notes that are in one."""
-    return paths.where(parent("path") != "").select("path", parent("path").alias("folder")).distinct()
+    return paths.select("path", note_folder("path").alias("folder")).where("folder <> ''").distinct()
 
 
 def stats(graph: Graph) -> DataFrame:

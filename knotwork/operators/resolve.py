@@ -105,7 +105,3 @@ def resolve_by_path(links: DataFrame, index: LinkIndex) -> DataFrame:
     none = F.col("__norm") == ""
     found = F.coalesce(F.when(none, F.col("source_path")), "__a", "__b")
     return rows.select(*links.columns, F.coalesce(found, F.col("__file")).alias("target_path"), found.isNull().alias("is_unresolved"), F.when(none, "self").when(found.isNotNull(), "path").otherwise("ghost").alias("step"))
-
-
-def first_per(df: DataFrame, key: str, *order) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")

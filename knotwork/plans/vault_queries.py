@@ -96,7 +96,8 @@ links AS (SELECT DISTINCT source_path AS src, target_path AS dst, coalesce(ancho
 tags AS (SELECT DISTINCT note_path AS path, tag FROM note_tags WHERE trim(tag) <> '' AND trim(note_path) <> ''),
 ghosts AS (SELECT DISTINCT dst AS path, regexp_replace(string_split(dst, '/')[-1], '(.)\\.[^./]*$', '\\1') AS title FROM links WHERE dst NOT IN (SELECT path FROM cur)),
 alln AS (SELECT path, title, hash, mtime, is_unresolved FROM cur UNION ALL SELECT path, title, '', 0, true FROM ghosts),
-folders0 AS (SELECT DISTINCT array_to_string(ps[1:n], '/') AS path FROM (SELECT ps, unnest(range(1, len(ps) + 1)) AS n FROM (SELECT string_split(path, '/')[:-2] AS ps FROM alln WHERE contains(path, '/')))),
+held AS (SELECT path, list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.')[:-2] AS ps FROM alln),
+folders0 AS (SELECT DISTINCT array_to_string(ps[1:n], '/') AS path FROM (SELECT ps, unnest(range(1, len(ps) + 1)) AS n FROM held)),
 counts AS (SELECT dst AS path, count(*) AS n FROM links GROUP BY dst),
 hub AS (SELECT c.path, a.title, c.n AS backlinks_count FROM counts c JOIN alln a ON a.path = c.path WHERE NOT a.is_unresolved ORDER BY c.n DESC, c.path),
 tagn AS (SELECT tag, count(*) AS notes_count FROM tags GROUP BY tag),
@@ -118,7 +119,7 @@ hops AS (SELECT path, 0 AS hop FROM focus UNION ALL SELECT path, 1 FROM h1 UNION
 
 # --- graph ---------------------------------------------------------------------------------------------------
 
-_STATS = "SELECT (SELECT count(*) FROM alln) AS notes, (SELECT count(*) FROM alln WHERE is_unresolved) AS unresolved, (SELECT count(DISTINCT tag) FROM tags) AS tags, (SELECT count(*) FROM tags) AS tagged_with, (SELECT count(*) FROM folders0) AS folders, (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM alln WHERE contains(path, '/')) AS contained_in"
+_STATS = "SELECT (SELECT count(*) FROM alln) AS notes, (SELECT count(*) FROM alln WHERE is_unresolved) AS unresolved, (SELECT count(DISTINCT tag) FROM tags) AS tags, (SELECT count(*) FROM tags) AS tagged_with, (SELECT count(*) FROM folders0) AS folders, (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM held WHERE len(ps) > 0) AS contained_in"
 
 
 @query(_G + _STATS)
@@ -205,7 +206,7 @@ def folder_hierarchy(spark, d):
     return g.folders(graph_now(spark, d).notes)
 
 
-@query(_G + "SELECT path, regexp_replace(path, '/[^/]*$', '') AS folder FROM alln WHERE contains(path, '/')")
+@query(_G + "SELECT path, array_to_string(ps, '/') AS folder FROM held WHERE len(ps) > 0")
 def note_folders(spark, d):
     return g.contained(graph_now(spark, d).notes)
 
@@ -535,7 +536,7 @@ def dismissed_filter(spark, d):
 def gaps_enriched(spark, d):
     graph = graph_now(spark, d)
     found = written(discover.gaps(written(unit_chunks(spark, d), "unit"), graph), "gaps")
-    return discover.enrich(found, graph.links, 4).withColumn("bridge_path", F.array_join("bridge_path", " > "))
+    return discover.enrich(found, graph.links).withColumn("bridge_path", F.array_join("bridge_path", " > "))
 
 
 @query("WITH " + _CH + " SELECT count(*) AS n_pairs, coalesce(sum(greatest(1, floor(length(text) / 3.8)::INT + 10) + greatest(1, floor(length(coalesce(heading, '')) / 3.8)::INT + 10) + 150), 0)::BIGINT AS prompt_tokens, count(*) * 120 AS completion_tokens FROM ch WHERE text IS NOT NULL")

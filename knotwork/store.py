@@ -14,10 +14,15 @@ _made: dict[str, list[DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (tests on one machine)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where that is unset and all runs on one machine.
+
+    On a cluster without that setting this is an error: tasks and driver do not share a local disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="knotwork-")
