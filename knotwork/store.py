@@ -56,6 +56,48 @@ def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing reads any more."""
     path = getattr(df, "_knotwork_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        Files(df.sparkSession).delete(path)
+
+
+class Files:
+    """Small files and folders by way of the cluster's file system, so that driver and tasks see the same ones."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def names(self, folder: str) -> list[str]:
+        fs, p = self._at(folder)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def read(self, path: str) -> str:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, path: str, text: str) -> bool:
+        """A new file, whole or not at all; False if there is one of that name already."""
+        fs, p = self._at(path)
+        if fs.exists(p):
+            return False
+        new = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+        out = fs.create(new, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return bool(fs.rename(new, p))
+
+    def delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)

@@ -39,21 +39,22 @@ def follow_manifests(spark: SparkSession, folder: str, checkpoint: str, stored:
 
 
 class OrphanStream:
-    """Orphan references as a stream: batches of references and parent events go into one kept state.
+    """Orphan references as a stream: batches of references and parent events go into the state in a folder.
 
-    Columns of the stream: kind ('ref' or 'parent'), ref_table, ref_key, p, t, life, real, b, e.
+    Columns of the stream: kind ('ref' or 'parent'), ref_table, ref_key, p, t, life, real, b, e. The folder holds
+    the number of the last batch, so a stream that starts again from its checkpoint goes on where it was, and a
+    batch that is delivered again changes nothing.
     """
 
     SCHEMA = "kind string, ref_table string, ref_key string, p string, t timestamp_ntz, life bigint, real boolean, b timestamp_ntz, e timestamp_ntz"
 
-    def __init__(self, spark: SparkSession):
-        self.state = OrphanState.empty(spark)
-        self.done = -1
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.state = OrphanState(spark, folder)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        if number <= self.done:
-            return
         refs = batch.where("kind = 'ref'").select("ref_table", "ref_key", "p", "t")
         parents = batch.where("kind = 'parent'").select("p", "life", "real", "b", "e")
-        self.state = apply_batch(self.state, refs, parents)
-        self.done = number
+        apply_batch(self.state, refs, parents, number)
+
+    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -50,14 +50,20 @@ def test_replay_equals_brute_force(spark, batches):
     r, l_ = _inputs(spark, refs, lives)
     state = o.replay(spark, r, l_, batches)
     assert {(x["ref_table"], x["ref_key"], x["reason"]) for x in state.pending().collect()} == brute(refs, set(lives))
-    assert sum(x["n"] for x in state.snapshot().collect()) == state.pending().count()
+    counted = {(x["ref_table"], x["ref_month"], x["reason"]): x["n"] for x in state.snapshot().collect()}
+    assert counted == {tuple(x)[:3]: x["count"] for x in o.orphans(state).groupBy("ref_table", "ref_month", "reason").count().collect()}
+    assert {x["batch"] for x in state.snapshots().collect()} == set(range(batches))
+    before = sorted(map(tuple, state.refs().collect()), key=str)
+    state.compact()
+    again = o.OrphanState(spark, state.folder)
+    assert sorted(map(tuple, again.refs().collect()), key=str) == before and again.batch == batches - 1
 
 
 def test_waiting_is_resolved_and_reopened(spark):
     life = lambda *x: spark.createDataFrame([x], o.LIFE)
     refs = spark.createDataFrame([("t", "1", "a", day(10)), ("t", "2", "a", day(30))], "ref_table string, ref_key string, p string, t timestamp_ntz")
     none_l, none_r = spark.createDataFrame([], o.LIFE), refs.where("false")
-    reasons = lambda s: {x["ref_key"]: x["reason"] for x in s.refs.collect()}
+    reasons = lambda s: {x["ref_key"]: x["reason"] for x in s.refs().collect()}
     s = o.apply_batch(o.OrphanState.empty(spark), refs, none_l)
     assert reasons(s) == {"1": "missing", "2": "missing"}
     s = o.apply_batch(s, none_r, life("a", 7, True, day(5), None))
@@ -86,3 +92,35 @@ def test_lookup_join_salts_hot_keys(spark):
     small, big = (lookup_join(left, right, "key", size=s) for s in ((3, 10), (1 << 40, 1 << 40)))
     assert sorted(map(tuple, small.select("id", "v").collect()), key=str) == sorted(map(tuple, big.select("id", "v").collect()), key=str)
     assert big.where("v = 1").count() == 667
+
+
+def test_a_batch_that_failed_is_repeated(spark, monkeypatch):
+    refs = spark.createDataFrame([("t", "1", "a", day(10))], "ref_table string, ref_key string, p string, t timestamp_ntz")
+    lives = spark.createDataFrame([("a", 7, True, day(5), None)], o.LIFE)
+    s = o.apply_batch(o.OrphanState.empty(spark), refs, lives.where("false"))
+    with monkeypatch.context() as m:
+        m.setattr(o, "probe", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            o.apply_batch(s, refs.where("false"), lives)
+    s = o.OrphanState(spark, s.folder)
+    assert s.batch == 0 and s.pending().count() == 1
+    s = o.apply_batch(s, refs.where("false"), lives, 1)
+    assert s.pending().count() == 0 and s.snapshot().collect() == []
+
+
+def test_only_what_changes_is_written(spark):
+    refs = spark.createDataFrame([("t", str(i), f"n{i}", day(10)) for i in range(200)], "ref_table string, ref_key string, p string, t timestamp_ntz")
+    lives = spark.createDataFrame([("n3", 7, True, day(5), None)], o.LIFE)
+    s = o.apply_batch(o.OrphanState.empty(spark), refs, lives.where("false"))
+    s = o.apply_batch(s, refs, lives)
+    assert {(r["batch"], r["count"]) for r in s.log("refs", o.REF).groupBy("batch").count().collect()} == {(0, 200), (1, 1)}
+
+
+def test_two_writers(spark):
+    refs = spark.createDataFrame([("t", "1", "a", day(10))], "ref_table string, ref_key string, p string, t timestamp_ntz")
+    none = spark.createDataFrame([], o.LIFE)
+    one = o.OrphanState.empty(spark)
+    two = o.OrphanState(spark, one.folder)
+    o.apply_batch(one, refs, none)
+    with pytest.raises(RuntimeError):
+        o.apply_batch(two, refs, none)

@@ -133,6 +133,26 @@ def test_orphan_stream(spark):
     assert o.state.pending().first()["reason"] == "late"
 
 
+def test_orphan_stream_goes_on_after_a_restart(spark, tmp_path):
+    def arrive(name, *rows):
+        names = [c.split()[0] for c in sync.OrphanStream.SCHEMA.split(", ")]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({k: r[k] for k in names if k in r}) for r in rows))
+
+    def run():
+        stream = spark.readStream.schema(sync.OrphanStream.SCHEMA).json(str(tmp_path / "in"))
+        made = sync.OrphanStream(spark, f"file://{tmp_path}/state")
+        made.start(stream, str(tmp_path / "checkpoint")).awaitTermination(120)
+        return made.state
+
+    arrive("1.json", {"kind": "ref", "ref_table": "t", "ref_key": "1", "p": "a", "t": "2024-01-11T00:00:00"}, {"kind": "ref", "ref_table": "t", "ref_key": "2", "p": "b", "t": "2024-01-11T00:00:00"})
+    assert run().pending().count() == 2
+    arrive("2.json", {"kind": "parent", "p": "a", "life": 1, "real": True, "b": "2024-01-01T00:00:00"})
+    after = run()
+    assert after.batch == 1 and [r["ref_key"] for r in after.pending().collect()] == ["2"]
+    assert run().batch == 1
+
+
 @pytest.mark.parametrize("name", ["graph_stats", "p1_found", "p5_found"])
 def test_entry_has_sql(name):
     import __spark_entry__ as e
