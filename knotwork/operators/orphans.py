@@ -176,12 +176,12 @@ def apply_batch(state: OrphanState, refs: DataFrame, parents: DataFrame, number:
         known = state.log("refs", REF).select(*KEY).join(once.select(*KEY), KEY, "left_semi").distinct()
         once = once.join(known, KEY, "left_anti")
     fresh = written(once.select("*", _bucket()), "orphan-fresh")
-    state.append("lives", number, parents)
+    arrived = state.append("lives", number, parents)
     base, batches = state.state["lives"]
     state.state = state.state | {"lives": [base, [*batches, number]]}
     try:
         touched = state.log("lives", LIFE).where(F.col("batch") == number).select("p", "bucket").distinct()
-        changed = sorted(r[0] for r in touched.select("bucket").distinct().collect())
+        changed = sorted(int(x.split("=")[1]) for x in state.files.names(arrived) if x.startswith("bucket="))
         asked = sorted(set(changed) | {r[0] for r in fresh.select("bucket").distinct().collect()})
         index = written(parent_index(merged_lives(state.log("lives", LIFE, asked))), "orphan-index")
         waiting = lookup_join(state.log("refs", REF, changed), touched.select("p", F.lit(True).alias("touched")), "p", "inner")
