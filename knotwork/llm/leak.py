@@ -1,29 +1,41 @@
 """Problem 8: passages of held-out test items in a corpus of scanned pages.
 
-Method: the normalised items make up one generalised suffix automaton over words. Each page's words
-are streamed through it in reading order, keeping the length of the longest match that ends at each
-word; matches of at least the least length name the items that hold those words, and their spans
-can be removed.
-
-A page's words are brought into reading order (column by column, from the boxes), broken words are joined,
-and each word is reduced to a form in which letters that scans confuse are one. A misread word
-then equals the word that was printed, while another word differs.
+Method: the normalised items make up generalised suffix automata over words. Each page's words
+are streamed through them in reading order, keeping the length of the longest match that ends at each
+word; matches of at least the least length name the items that hold those words, and spans beyond
+limits of length or coverage can be removed.
+
+A page's words are brought into reading order (column by column, from the boxes) and broken words are joined. A word
+stands for itself; and, if it is no word that the corpus knows, also for every item word of which it may be a
+misread copy: one that is equal once letters that scans confuse are one, few letters away. A match may follow
+several readings at once, and holds at most MOST_MISREAD such words among any LEAST_WORDS in a row.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Broadcast bound: words of all items in one automaton. More items are taken in blocks of this size.
-BLOCK_WORDS = 1_000_000
-LEAST_WORDS = 12
+from knotwork.store import written
+
+#: Bounds: words of all items in one automaton (about 30 bytes each once it is built), and automata in one pass over the documents.
+#: More items are taken in further blocks and passes.
+BLOCK_WORDS, PASS_BLOCKS = 250_000, 8
+LEAST_WORDS, MOST_MISREAD = 12, 6
+#: A word is known to the corpus if it stands there so often, and at least this share as often as the most frequent of its form.
+KNOWN_COUNT, KNOWN_SHARE = 5, 0.2
+MOST_COMMON = 20_000
+#: Spans that are removed: so long, or that share of their item.
+SCRUB_WORDS, SCRUB_SHARE = 20, 0.5
 #: Two columns lie at least this far apart (pixels); lines of one column differ by a few.
 COLUMN_GAP = 100
 
@@ -54,7 +66,22 @@ def scan_form(word: str) -> str:
     return word.translate(_LETTERS)
 
 
-def reading_order(text: str, x0: list[int] | None, y0: list[int] | None, gap: int = COLUMN_GAP) -> str:
+def letters_apart(a: str, b: str) -> int:
+    """Levenshtein distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def may_be_misread(word: str, printed: str) -> bool:
+    """Of two words of one form: whether few enough letters differ, a third or two in short words."""
+    return letters_apart(word, printed) <= max(2, (len(printed) + 2) // 3)
+
+
+def reading_order(text: str, x0: list[int] | None, gap: int = COLUMN_GAP) -> str:
     """The lines column by column, if each has its box and the boxes stand in several columns."""
     if not x0:
         return text
@@ -138,25 +165,31 @@ class SuffixAutomaton:
 
 @dataclass
 class LeakIndex:
-    automaton: SuffixAutomaton
-    ids: dict[str, int]
+    """An automaton as arrays: the arcs of state s are symbols[first[s]:first[s + 1]], sorted, and lead to targets; the
+    items that hold the last `least` words of a state are owners[held[s]:held[s + 1]]."""
+
+    words: list[str]
+    root: array
+    first: array
+    symbols: array
+    targets: array
+    link: array
+    length: array
+    held: array
+    owners: array
     sizes: dict[int, int]
     least: int
+    known: frozenset[str] = frozenset()
+    cache: dict[str, tuple[tuple[int, bool], ...]] = field(default_factory=dict)
 
     def __post_init__(self):
-        a = self.automaton
-        #: The state of the last `least` words of each longer run.
-        self.base = list(range(len(a.length)))
-        for s in sorted(range(len(a.length)), key=a.length.__getitem__):
-            if s and a.length[a.link[s]] >= self.least:
-                self.base[s] = self.base[a.link[s]]
-        self.cache: dict[str, int] = {}
+        self.ids = {w: k for k, w in enumerate(self.words)}
         self.forms: dict[str, list[str]] = {}
-        for w in self.ids:
+        for w in self.words:
             self.forms.setdefault(scan_form(w), []).append(w)
 
     @classmethod
-    def of(cls, items: list[tuple[int, str]], least: int = LEAST_WORDS) -> LeakIndex:
+    def of(cls, items: list[tuple[int, str]], least: int = LEAST_WORDS, known: Iterable[str] = ()) -> LeakIndex:
         ids: dict[str, int] = {}
         coded = []
         for item, text in items:
@@ -166,59 +199,103 @@ class LeakIndex:
             a.add(symbols)
         for item, symbols in coded:
             a.own(item, symbols)
-        return cls(a, ids, {i: len(s) for i, s in coded}, least)
-
-    def _symbol(self, word: str) -> int:
-        """A word of the items is itself; any other is the nearest of those with the same form."""
+        n = len(a.length)
+        #: The state of the last `least` words of each longer run.
+        base = list(range(n))
+        for s in sorted(range(n), key=a.length.__getitem__):
+            if s and a.length[a.link[s]] >= least:
+                base[s] = base[a.link[s]]
+        arcs = [sorted(x.items()) for x in a.next]
+        owners = [sorted(a.owners[base[s]]) if a.length[s] >= least else [] for s in range(n)]
+        root = array("i", [-1]) * len(ids)
+        for symbol, to in arcs[0]:
+            root[symbol] = to
+        ints = lambda xs: array("i", xs)
+        return cls(
+            list(ids), root, ints(np.cumsum([0, *map(len, arcs)]).tolist()), ints([s for x in arcs for s, _ in x]), ints([t for x in arcs for _, t in x]),
+            ints(a.link), ints(a.length), ints(np.cumsum([0, *map(len, owners)]).tolist()), array("q", [o for x in owners for o in x]), {i: len(s) for i, s in coded}, least, frozenset(known),
+        )
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "forms", "cache")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, cache={})
+        self.__post_init__()
+
+    def _readings(self, word: str) -> tuple[tuple[int, bool], ...]:
         exact = self.ids.get(word)
-        if exact is not None:
-            return exact
-        same = self.forms.get(scan_form(word))
-        if not same:
-            return -1
-        return self.ids[min(same, key=lambda x: (sum(a != b for a, b in zip(x, word)) + abs(len(x) - len(word)), x))]
-
-    def symbols(self, words: list[str]) -> list[int]:
-        out, cache = [], self.cache
-        for w in words:
-            s = cache.get(w)
-            if s is None:
-                if len(cache) > 500_000:
-                    cache.clear()
-                s = cache[w] = self._symbol(w)
-            out.append(s)
-        return out
+        out = [] if exact is None else [(exact, False)]
+        if word not in self.known:
+            out += [(self.ids[x], True) for x in self.forms.get(scan_form(word), ()) if x != word and may_be_misread(word, x)]
+        return tuple(out)
+
+    def readings(self, word: str) -> tuple[tuple[int, bool], ...]:
+        """What the word may stand for: itself, and item words of which it may be a misread copy."""
+        got = self.cache.get(word)
+        if got is None:
+            if len(self.cache) > 500_000:
+                self.cache.clear()
+            got = self.cache[word] = self._readings(word)
+        return got
+
+    def _step(self, state: int, size: int, misread: tuple[int, ...], symbol: int, wrong: bool, at: int):
+        """The longest match that ends with the symbol, or None: state, number of words and places of misread ones."""
+        first, symbols, link = self.first, self.symbols, self.link
+        while state:
+            k = bisect_left(symbols, symbol, first[state], first[state + 1])
+            if k < first[state + 1] and symbols[k] == symbol:
+                state = self.targets[k]
+                break
+            state = link[state]
+            size = self.length[state]
+        else:
+            state = self.root[symbol]
+            if state < 0:
+                return None
+            size = 0
+        size += 1
+        if wrong:
+            misread = (*misread, at)
+        if misread:
+            misread = tuple(q for q in misread if q > at - size)
+            if wrong and len(misread) > MOST_MISREAD and misread[-MOST_MISREAD - 1] > at - self.least:
+                size = at - misread[-MOST_MISREAD - 1]
+                misread = misread[-MOST_MISREAD:]
+                while self.length[link[state]] >= size:
+                    state = link[state]
+        return state, size, misread
 
     def runs(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
         """item -> maximal spans [begin, end) of the words that stand in the item, each at least `least` long."""
-        a = self.automaton
-        nxt, link, length, base, least = a.next, a.link, a.length, self.base, self.least
-        state = size = 0
+        least, held = self.least, self.held
         found: dict[int, list[tuple[int, int]]] = {}
-        for at, s in enumerate(self.symbols(words), 1):
-            if s < 0:
-                state = size = 0
-                continue
-            to = nxt[state].get(s)
-            while to is None and state:
-                state = link[state]
-                size = length[state]
-                to = nxt[state].get(s)
-            if to is None:
+        threads: list[tuple[int, int, tuple[int, ...]]] = []
+        for at, w in enumerate(words, 1):
+            readings = self.readings(w)
+            if not readings:
+                threads = []
                 continue
-            state = to
-            size += 1
-            if size >= least:
-                for item in a.owners[base[state]]:
-                    spans = found.setdefault(item, [])
-                    if spans and spans[-1][1] == at - 1:
-                        spans[-1] = (spans[-1][0], at)
-                    else:
-                        spans.append((at - least, at))
+            after: dict[int, tuple[int, int, tuple[int, ...]]] = {}
+            for symbol, wrong in readings:
+                for state, size, misread in threads or ((0, 0, ()),):
+                    new = self._step(state, size, misread, symbol, wrong, at)
+                    # of several ways to one state the longest is kept, then the one with fewest misread words
+                    if new and (new[0] not in after or (new[1], -len(new[2])) > (after[new[0]][1], -len(after[new[0]][2]))):
+                        after[new[0]] = new
+            threads = list(after.values())
+            for state, size, _ in threads:
+                if size >= least:
+                    for item in self.owners[held[state] : held[state + 1]]:
+                        spans = found.setdefault(item, [])
+                        if spans and spans[-1][1] >= at - 1:
+                            spans[-1] = (spans[-1][0], at)
+                        else:
+                            spans.append((at - least, at))
         return found
 
 
-def _index_blocks(items: DataFrame, least: int) -> Iterator[list[tuple[int, str]]]:
+def _item_blocks(items: DataFrame, least: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks whose words stay under the bound; the test set is read block by block."""
     block: list[tuple[int, str]] = []
     words = 0
@@ -236,42 +313,79 @@ def _index_blocks(items: DataFrame, least: int) -> Iterator[list[tuple[int, str]
         yield block
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word and n of all runs of letters and digits in docs(text): counted in each task before anything is shuffled."""
+    runs = docs.where("text IS NOT NULL").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word"))
+    return runs.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def known_words(counts: DataFrame, items: list[tuple[int, str]]) -> set[str]:
+    """Words of the corpus that have the form of an item word and stand there too often to be its misread copies.
+
+    At most 1 / KNOWN_SHARE words of each form are, so the list is bounded by the words of the items.
+    """
+    forms = frozenset(scan_form(w) for _, text in items for w in words_of(text))
+    shared = counts.sparkSession.sparkContext.broadcast(forms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [scan_form(w) for w in b.column(0).to_pylist()]
+            keep = pa.array([f in shared.value for f in own], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *b.columns], ["form", "word", "n"]).filter(keep)
+
+    rows = counts.mapInArrow(run, "form string, word string, n bigint").where(F.col("n") >= KNOWN_COUNT)
+    most = rows.groupBy("form").agg(F.max("n").alias("most"))
+    return {r["word"] for r in rows.join(most, "form").where(F.col("n") >= KNOWN_SHARE * F.col("most")).select("word").toLocalIterator()}
+
+
 LEAKS = "doc_id bigint, item_id bigint, begin int, n_words int, share_of_item double"
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS, known: Iterable[str] | None = None, common: DataFrame | None = None) -> DataFrame:
     """A row for each span of a document that holds at least `least` consecutive words of an item.
 
     docs(doc_id, text, boxes) and items(item_id, text) -> doc_id, item_id, begin (word of the document, in
     reading order), n_words, share_of_item. Null and empty texts and items of fewer words hold nothing;
-    null boxes leave the order of the lines. An item_id delivered again counts once. One pass over the
-    documents for each block of items, no shuffle; a block has at most BLOCK_WORDS words.
+    null boxes leave the order of the lines. An item_id delivered again counts once. known are words that are
+    never taken as misread; without it they come from counts over all documents and from common(word), a table of at
+    most MOST_COMMON words of the languages. One pass over the
+    documents for each PASS_BLOCKS blocks of items, no shuffle; a block has at most BLOCK_WORDS words.
     """
     sc = docs.sparkSession.sparkContext
-    few = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", F.transform("boxes", lambda b: b["x0"]).alias("x0"), F.transform("boxes", lambda b: b["y0"]).alias("y0"))
+    few = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", F.transform("boxes", lambda b: b["x0"]).alias("x0"))
+    counts = None
+    given = set() if common is None else {r[0].lower() for r in common.where("trim(word) <> ''").select("word").distinct().limit(MOST_COMMON + 1).collect()}
+    if len(given) > MOST_COMMON:
+        raise ValueError(f"more than {MOST_COMMON} common words")
     out = None
-    for block in _index_blocks(items, least):
-        part = few.mapInArrow(_scan(sc.broadcast((block, least))), LEAKS)
+    made: list[LeakIndex] = []
+
+    def close() -> None:
+        nonlocal out
+        part = few.mapInArrow(_scan(sc.broadcast(list(made))), LEAKS)
         out = part if out is None else out.unionByName(part)
+        made.clear()
+
+    for block in _item_blocks(items, least):
+        if known is None and counts is None:
+            counts = written(word_counts(docs), "word-counts")
+        made.append(LeakIndex.of(block, least, known_words(counts, block) | given if known is None else known))
+        if len(made) == PASS_BLOCKS:
+            close()
+    if made:
+        close()
     return docs.sparkSession.createDataFrame([], LEAKS) if out is None else out
 
 
-_kept: dict[int, LeakIndex] = {}
-
-
-def _scan(block):
-    key = hash(tuple(block.value[0])) ^ block.value[1]
-
+def _scan(indexes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _kept.get(key)
-        if index is None:
-            _kept.clear()
-            index = _kept[key] = LeakIndex.of(*block.value)
         for b in batches:
             rows = []
-            for doc, text, x0, y0 in zip(*(c.to_pylist() for c in b.columns)):
-                for item, spans in index.runs(words_of(reading_order(text, x0, y0))).items():
-                    rows += [(doc, item, a, e - a, (e - a) / index.sizes[item]) for a, e in spans]
+            for doc, text, x0 in zip(*(c.to_pylist() for c in b.columns)):
+                words = words_of(reading_order(text, x0))
+                for index in indexes.value:
+                    for item, spans in index.runs(words).items():
+                        rows += [(doc, item, a, e - a, (e - a) / index.sizes[item]) for a, e in spans]
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "item_id", "begin", "n_words", "share_of_item"])
@@ -279,19 +393,20 @@ def _scan(block):
     return run
 
 
-def scrub(docs: DataFrame, leaks: DataFrame, least_share: float = 0.0) -> DataFrame:
-    """doc_id, kept text and number of words removed, for documents with leaked spans.
+def scrub(docs: DataFrame, leaks: DataFrame, least_words: int = SCRUB_WORDS, least_share: float = SCRUB_SHARE) -> DataFrame:
+    """doc_id, kept text and number of words removed, for documents with leaked spans beyond the limits.
 
-    Spans of find_leaks() that cover at least least_share of their item are cut out of the words in reading order.
+    Spans of find_leaks() of at least least_words words, and those that cover at least least_share of their item, are cut
+    out of the words in reading order.
     """
-    spans = leaks.where(F.col("share_of_item") >= least_share).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "n_words")).alias("spans"))
-    few = docs.select("doc_id", "text", F.transform("boxes", lambda b: b["x0"]).alias("x0"), F.transform("boxes", lambda b: b["y0"]).alias("y0")).join(spans, "doc_id")
+    spans = leaks.where((F.col("n_words") >= least_words) | (F.col("share_of_item") >= least_share)).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "n_words")).alias("spans"))
+    few = docs.select("doc_id", "text", F.transform("boxes", lambda b: b["x0"]).alias("x0")).join(spans, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts, removed = [], [], []
-            for doc, text, x0, y0, cut in zip(*(c.to_pylist() for c in b.columns)):
-                clean = joined(unicodedata.normalize("NFKC", reading_order(text, x0, y0)))
+            for doc, text, x0, cut in zip(*(c.to_pylist() for c in b.columns)):
+                clean = joined(unicodedata.normalize("NFKC", reading_order(text, x0)))
                 at = [m.span() for m in _RUN.finditer(clean)]
                 gone = {k for s in cut for k in range(s["begin"], s["begin"] + s["n_words"])}
                 keep, last = [], 0
@@ -305,4 +420,4 @@ def scrub(docs: DataFrame, leaks: DataFrame, least_share: float = 0.0) -> DataFr
                 removed.append(len(gone))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["doc_id", "text", "n_removed"])
 
-    return few.select("doc_id", "text", "x0", "y0", "spans").mapInArrow(run, "doc_id bigint, text string, n_removed int")
+    return few.select("doc_id", "text", "x0", "spans").mapInArrow(run, "doc_id bigint, text string, n_removed int")

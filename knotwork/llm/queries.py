@@ -62,7 +62,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leak.find_leaks(table(spark, d, "documents", "doc_id", "text", "boxes"), table(spark, d, "eval_items", "item_id", "text"))
+    return leak.find_leaks(table(spark, d, "documents", "doc_id", "text", "boxes"), table(spark, d, "eval_items", "item_id", "text"), common=table(spark, d, "common_words", "word"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
