@@ -46,6 +46,47 @@ def test_match(index, value, want):
     assert index.match(value)[0] == want
 
 
+PLACES = [("new york", 1), ("old mill", 1), ("mill", 1), ("new harbour", 2), ("old harbour", 1), ("mercury (planet)", 1), ("the end", 1), ("york minster", 1)]
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("york", ""), ("New York", "new york"), ("york, new", "new york"), ("the new york (draft)", "new york"), ("NewYork", "new york"), ("old york", ""),
+        ("mill", "mill"), ("the mill", "mill"), ("old mill", "old mill"), ("the old mill", "old mill"), ("new mill", "mill"),
+        ("harbour", ""), ("the new harbour", "new harbour"), ("old harbour copy", "old harbour"), ("mercury", ""), ("mercury (element)", ""), ("Mercury (Planet)", "mercury (planet)"),
+        ("mercury planet", "mercury (planet)"), ("end", ""), ("the", ""), ("the new old", ""), ("the york minster final", "york minster"),
+    ],
+)
+def test_entries_keep_all_their_words(value, want):
+    assert c.CanonIndex(PLACES).match(value)[0] == want
+
+
+def test_many_words_with_a_common_beginning():
+    import time
+
+    index = c.CanonIndex([(f"stone{a}{b} stone{b}{a} stone{a}{a}", 1) for a in "abcdefgh" for b in "ijklmnop"])
+    began = time.time()
+    assert index.match("stone stone stone stone stone stone")[0] == ""
+    assert index.match("stone stone stone")[0] != ""
+    assert index.match("stoneai stoneia stonea")[0] == "stoneai stoneia stoneaa"
+    assert index.match(" ".join(f"stone{x}" for x in "abcdefgh" * 40))[0] == ""
+    assert time.time() - began < 3
+
+
+def test_equal_words_in_an_entry():
+    index = c.CanonIndex([(" ".join(["bongo"] * 12), 1), ("bongo bongo", 1)])
+    assert index.match("Bongo, BONGO!")[0] == "bongo bongo" and index.match("bongo bongo bongo")[0] == "" and index.match("bongo " * 12)[0].count("bongo") == 12
+
+
+@pytest.mark.parametrize("block", [20_000, 1])
+def test_frequency_decides_in_any_number_of_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(c, "BLOCK_ENTRIES", block)
+    ref = spark.createDataFrame([("brian", ["a"]), ("bryan", ["a", "b", "c"]), ("brxxn", [])], "basename string, paths array<string>")
+    links = spark.createDataFrame([(1, "brzan", None), (2, "BRIAN", None)], "link_id bigint, target string, alias string")
+    assert {r["link_id"]: r["basename"] for r in c.map_values(links, ref).collect()} == {1: "bryan", 2: "brian"}
+
+
 def test_distance_weights():
     assert c.distance("abc", "abc") == 0 and c.distance("abcd", "abdc") == 0.8 and c.distance("book", "bok") == 0.8
     assert c.distance("abc", "xbc") == 1 and c.distance("abcdef", "uvwxyz") == float("inf")
