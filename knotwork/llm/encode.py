@@ -1,17 +1,23 @@
 """Problem 7: encoding of a corpus with a byte-level BPE vocabulary.
 
 Method: the merges are compiled into a deterministic automaton over tokens by adding one gadget
-for each merge, in their order; words cut out by the vocabulary's pattern are encoded by walking
-it, and ids are decoded by emitting the arcs' labels.
+for each merge, in their order; words cut out by the vocabulary's pattern are encoded by transitions read from
+tables, and ids are decoded by emitting the arcs' labels.
 
 The automaton. At first there is one state with an arc for each byte. The gadget of a merge
 a b -> c does two things: arcs labelled a now lead to a copy of their target that lacks the arc b,
 and a new arc c leads, from wherever a could be read before b, to where b led. What it accepts is
 exactly the token sequences that BPE makes. The state after a token depends on that token alone, so
-states are named by tokens. The copies share all they have in common: `blocked` keeps, under the
-state and the arc taken away, when that was done; `born`, `head` and `tail` keep when an arc
-was added and from which arcs. Whether an arc leaves a state follows from these by one walk, and each
-answer is kept in the transition table.
+states are named by tokens. The copies share all they have in common, which keeps the tables as small as the
+vocabulary: row a of the table of lost arcs lists, sorted, the arcs b that its copies lack and since when; `tail` and `head`
+lead from a token's state and arc to those they were made of, and `born` says when. An arc leaves a state unless one of the
+rows along the tails lists one of the arcs along the heads.
+
+Reading. The labels of all arcs make up a second table, over bytes: its states are the beginnings of labels, its transitions
+lead on or fall back, and each state names the longest label that ends there, each label the next shorter one. Every beginning of
+a word has one path through the automaton, so one step for each byte gives the arc that this path ends with: the
+longest label that may follow the path to where it begins. Nothing is tried twice, and nothing is kept but the tables
+and a bounded number of words.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +41,6 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 _NEVER = 1 << 40
-_SHIFT = 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,84 +51,116 @@ def byte_letters() -> dict[str, int]:
 
 
 class MergeAutomaton:
+    """first, lost, since: for the state of token a, lost[first[a]:first[a + 1]] are the arcs its copies lack, since when."""
+
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         """labels: the bytes of each token. merges: (a, b, c) in order of their rank."""
         self.labels = labels
-        self.ids = {x: i for i, x in labels.items()}
-        self.longest: dict[bytes, int] = {}
-        for x in labels.values():
-            self.longest[x[:2]] = max(self.longest.get(x[:2], 0), len(x))
-        self.blocked: dict[int, int] = {}
-        self.born: dict[int, int] = {}
-        self.head: dict[int, int] = {}
-        self.tail: dict[int, int] = {}
-        self.table: dict[int, bool] = {}
+        size = max(labels, default=-1) + 1
+        none = array("q", [-1]) * size
+        self.head, self.tail, self.born = array("q", none), array("q", none), array("q", [_NEVER]) * size
+        # the rows as they will be; what a row lists counts from its rank on, so gadgets that come later do not disturb earlier ones
+        rows: dict[int, dict[int, int]] = {}
+        for rank, (a, b, _) in enumerate(merges):
+            rows.setdefault(a, {}).setdefault(b, rank)
+        self.first, self.lost, self.since = array("q", [0]), array("q"), array("q")
+        for a in range(size):
+            for b, rank in sorted(rows.get(a, {}).items()):
+                self.lost.append(b)
+                self.since.append(rank)
+            self.first.append(len(self.lost))
+        made = {c for _, _, c in merges}
         for rank, (a, b, c) in enumerate(merges):
-            self._gadget(rank, a, b, c)
+            # a merge of a token that never comes out makes none
+            if all(x not in made or self.born[x] < rank for x in (a, b)):
+                self._gadget(rank, a, b, c)
         #: Tokens that no arc is labelled with never come out, whatever the text.
-        made = {c for _, _, c in merges}
-        self.ids = {x: i for x, i in self.ids.items() if i not in made or i in self.born}
+        self._read_labels({x: i for i, x in labels.items() if i not in made or self.born[i] != _NEVER})
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
-        if c not in self.born and self._leaves(a, b):
+        """The merge's new arc, if its parts can still be read one after the other when its turn comes."""
+        if self.born[c] == _NEVER and self.arc(a, b, rank):
             self.born[c], self.head[c], self.tail[c] = rank, a, b
-        self.blocked.setdefault(a << _SHIFT | b, rank)
 
-    def arc(self, state: int, token: int) -> bool:
-        """Whether token may follow in this state; from the table, else worked out once."""
-        key = state << _SHIFT | token
-        known = self.table.get(key)
-        if known is None:
-            known = self.table[key] = self._leaves(state, token)
-        return known
-
-    def _leaves(self, state: int, token: int) -> bool:
+    def arc(self, state: int, token: int, before: int = _NEVER) -> bool:
+        """Whether an arc with this token leaves the state (before that rank): no row along the tails may list an arc along the heads."""
+        first, lost, since, head, tail, born = self.first, self.lost, self.since, self.head, self.tail, self.born
         x, x_until = state, _NEVER
-        while True:
-            y, y_until = token, _NEVER
-            while True:
-                rank = self.blocked.get(x << _SHIFT | y, _NEVER)
-                # of equal neighbours the left ones merge first
-                if rank < x_until and (rank < y_until or rank == y_until != _NEVER):
-                    return False
-                if y not in self.head:
-                    break
-                y, y_until = self.head[y], self.born[y]
-            if x not in self.tail:
-                return True
-            x, x_until = self.tail[x], self.born[x]
+        while x >= 0:
+            begin, end = first[x], first[x + 1]
+            if begin < end:
+                y, y_until = token, _NEVER
+                while y >= 0:
+                    k = bisect_left(lost, y, begin, end)
+                    if k < end and lost[k] == y:
+                        rank = since[k]
+                        # of equal neighbours the left ones merge first
+                        if rank < before and rank < x_until and (rank < y_until or rank == y_until != _NEVER):
+                            return False
+                    y, y_until = head[y], born[y]
+            x, x_until = tail[x], born[x]
+        return True
+
+    def _read_labels(self, ids: dict[bytes, int]) -> None:
+        """step: state and byte to the next state; back: where to fall back; ends: the longest label that ends in a state."""
+        self.step: dict[int, int] = {}
+        self.whole = ids
+        self.back, self.ends = array("q", [0]), array("q", [-1])
+        for label in sorted(ids, key=len):
+            at = 0
+            for byte in label:
+                to = self.step.get(at << 8 | byte)
+                if to is None:
+                    to = self.step[at << 8 | byte] = len(self.back)
+                    self.back.append(0)
+                    self.ends.append(-1)
+                at = to
+            self.ends[at] = ids[label]
+        self.shorter = array("q", [-1]) * len(self.head)
+        # states in order of depth: those a state falls back to are done before it
+        depth = array("q", [0]) * len(self.back)
+        for key, to in self.step.items():
+            depth[to] = depth[key >> 8] + 1
+        for key in sorted(self.step, key=lambda k: depth[self.step[k]]):
+            at, byte, to = key >> 8, key & 255, self.step[key]
+            back = self.back[at]
+            while at and back and back << 8 | byte not in self.step:
+                back = self.back[back]
+            self.back[to] = self.step.get(back << 8 | byte, 0) if at else 0
+            under = self.ends[self.back[to]]
+            if self.ends[to] < 0:
+                self.ends[to] = under
+            else:
+                self.shorter[self.ends[to]] = under
+        self.size = array("q", [len(self.labels.get(i, b"")) for i in range(len(self.head))])
 
     def walk(self, word: bytes) -> list[int]:
-        """The one path through the automaton whose labels make up the word.
-
-        From each place the longest arc is tried first. The path to a place is unique, so a place
-        from which no arc leads on is given up for good.
-        """
-        whole = self.ids.get(word)
-        if whole is not None and len(word) == 1:
+        """The one path through the automaton whose labels make up the word; one step for each byte."""
+        whole = self.whole.get(word)
+        if whole is not None:  # from the first state every arc leads on
             return [whole]
-        n, at = len(word), 0
-        path: list[int] = []
-        dead = bytearray(n + 1)
-        limit = n
-        while at < n:
-            step = min(n - at, limit, self.longest.get(word[at : at + 2], 1) if n - at > 1 else 1)
-            last = path[-1] if path else -1
-            while step:
-                t = self.ids.get(word[at : at + step])
-                if t is not None and not dead[at + step] and (last < 0 or self.arc(last, t)):
+        step, back, ends, shorter, size, arc = self.step, self.back, self.ends, self.shorter, self.size, self.arc
+        last = [-1] * (len(word) + 1)
+        state = 0
+        for at, byte in enumerate(word, 1):
+            to = step.get(state << 8 | byte)
+            while to is None:
+                state = back[state]
+                to = step.get(state << 8 | byte)
+            state = to
+            token = ends[state]
+            while token >= 0:
+                begin = at - size[token]
+                if not begin or arc(last[begin], token):
+                    last[at] = token
                     break
-                step -= 1
-            if step:
-                path.append(t)
-                at += step
-                limit = n
-            else:
-                dead[at] = 1
-                back = len(self.labels[path.pop()])
-                at -= back
-                limit = back - 1
-        return path
+                token = shorter[token]
+        path: list[int] = []
+        at = len(word)
+        while at:
+            path.append(last[at])
+            at -= size[last[at]]
+        return path[::-1]
 
     def emit(self, ids) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
@@ -189,16 +228,16 @@ def compiled(labels: dict[int, bytes], merges: list[tuple[int, int, int]]) -> Me
 _kept: dict[str, Encoder] = {}
 
 
-def _worker_encoder(path: str, vocabulary) -> Encoder:
+def _worker_encoder(path: str, automaton) -> Encoder:
     if path not in _kept:
         _kept.clear()
-        _kept[path] = Encoder(compiled(*vocabulary.value))
+        _kept[path] = Encoder(automaton.value)
     return _kept[path]
 
 
-def _vocabulary(docs: DataFrame, path: str):
-    """Read on the driver and sent to the workers: its size is the vocabulary's, whatever the corpus."""
-    return docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+def _automaton(docs: DataFrame, path: str):
+    """Compiled on the driver and sent to the workers as tables: their size is the vocabulary's, whatever the corpus."""
+    return docs.sparkSession.sparkContext.broadcast(compiled(*read_vocabulary(path)))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -207,10 +246,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     Rows stay where they are: no shuffle, one pass over the text. Rows repeated in docs are repeated.
     """
     path = path or f"{TOKENIZERS}/byte_bpe_50k.json"
-    vocabulary = _vocabulary(docs, path)
+    automaton = _automaton(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker_encoder(path, vocabulary)
+        encoder = _worker_encoder(path, automaton)
         for b in batches:
             parts = [encoder.packed(t) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
@@ -223,10 +262,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of rows (doc_id, ids); the empty list gives the empty text, null gives null."""
     path = path or f"{TOKENIZERS}/byte_bpe_50k.json"
-    vocabulary = _vocabulary(encoded, path)
+    automaton = _automaton(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker_encoder(path, vocabulary)
+        encoder = _worker_encoder(path, automaton)
         for b in batches:
             texts = [None if x is None else encoder.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

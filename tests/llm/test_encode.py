@@ -61,7 +61,7 @@ def plain_bpe(word, merges):
     return parts
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=2000, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=12), st.text("abc", max_size=12))
 def test_automaton_equals_merging_in_order(pairs, word):
     tokens = [b"a", b"b", b"c"]
@@ -76,6 +76,12 @@ def test_automaton_equals_merging_in_order(pairs, word):
     assert [tokens[i] for i in m.walk(word.encode())] == plain_bpe(word.encode(), merges)
 
 
+def test_tokens_made_of_tokens_that_never_come_out():
+    names = [b"c", b"a", b"cc", b"ccc", b"ccca"]
+    m = e.MergeAutomaton(dict(enumerate(names)), [(0, 0, 2), (0, 2, 3), (3, 1, 4)])
+    assert [names[i] for i in m.walk(b"ccca")] == [b"cc", b"c", b"a"]
+
+
 def test_cache_starts_anew(encoder):
     small = e.Encoder(encoder.automaton, keep=3)
     for t in TEXTS:
