@@ -43,19 +43,20 @@ def near_pairs(links: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, ["b", "at"]).select("a", "b").distinct()
 
 
-def gaps(chunks: DataFrame, graph: g.Graph, inferred: DataFrame | None = None, dismissed: DataFrame | None = None, focus: str | None = None, settings: Settings | None = None, floor: float | None = None, knn: int | None = None, dim: int = 64, with_evidence: bool = True) -> DataFrame:
+def gaps(chunks: DataFrame, graph: g.Graph, inferred: DataFrame | None = None, dismissed: DataFrame | None = None, focus: str | None = None, settings: Settings | None = None, floor: float | None = None, knn: int | None = rel.KNN, dim: int = 64, with_evidence: bool = True) -> DataFrame:
     """Scored pairs a < b of related notes that are more than graph_distance_threshold hops apart, have no inferred relation
     and were not dismissed. chunks(id, note, text, vector); inferred(src, dst, ...); dismissed(key)."""
     s = settings or Settings()
     floor = s.cosine_floor if floor is None else floor
-    near = written(rel.near_chunks(chunks, floor, knn, focus, dim), "near-chunks")
+    near, full = rel.near_and_full(chunks, floor, knn, focus, dim)
+    near = written(near, "near-chunks")
     pairs = near.select("a", "b").distinct()
     pairs = pairs.join(near_pairs(graph.links, pairs, max(1, min(5, s.graph_distance_threshold))), ["a", "b"], "left_anti")
     if inferred is not None:
         pairs = pairs.join(g.inferred_pairs(inferred), ["a", "b"], "left_anti")
     if dismissed is not None:
         pairs = pairs.withColumn("key", pair_key("a", "b")).join(dismissed.select("key"), "key", "left_anti").drop("key")
-    scored = rel.score_pairs(pairs, chunks, floor, s.reuse_discount, dim, with_evidence, near if knn is None else None)
+    scored = rel.score_pairs(pairs, chunks, floor, s.reuse_discount, dim, with_evidence, None if focus else near, full)
     return scored.where(F.col("final_score") >= s.similarity_threshold)
 
 

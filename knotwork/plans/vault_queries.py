@@ -457,7 +457,8 @@ def hybrid_search_near(spark, d):
 
 _PAIR = "WITH " + _CH + r""",
 unit AS (SELECT chunk_id AS id, note_path AS note, text, list_transform(vector, lambda x: x::DOUBLE / sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[]))) AS v FROM ch WHERE trim(note_path) <> '' AND len(vector) = 64 AND list_max(list_transform(vector, lambda x: abs(x))) > 0),
-pairs AS (SELECT DISTINCT least(x.note, y.note) AS a, greatest(x.note, y.note) AS b FROM unit x, unit y WHERE x.note < y.note AND list_dot_product(x.v, y.v) >= 0.65)
+near AS (SELECT x, y, m, n FROM (SELECT x.id AS x, y.id AS y, x.note AS m, y.note AS n, row_number() OVER (PARTITION BY x.id ORDER BY round(list_dot_product(x.v, y.v), 6) DESC, y.note, y.id) AS k FROM unit x, unit y WHERE x.id <> y.id AND list_dot_product(x.v, y.v) >= 0.65) WHERE k < 20),
+pairs AS (SELECT DISTINCT least(m, n) AS a, greatest(m, n) AS b FROM near WHERE m <> n)
 """
 _SCORE = _PAIR + r""",
 w AS (SELECT *, sqrt(least(greatest(greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\s\v\x{85}\p{Z}]+'))), 15), 400)) AS w FROM unit),
@@ -481,8 +482,9 @@ def related_candidates(spark, d):
 
 def _scored(spark, d, with_evidence: bool) -> DataFrame:
     unit = written(unit_chunks(spark, d), "unit")
-    near = written(rel.near_chunks(unit), "near-chunks")
-    return rel.score_pairs(near, unit, with_evidence=with_evidence, near=near)
+    near, full = rel.near_and_full(unit)
+    near = written(near, "near-chunks")
+    return rel.score_pairs(near, unit, with_evidence=with_evidence, near=near, full=full)
 
 
 @query(_SCORE + "SELECT a, b, cover_a, cover_b FROM scored")
