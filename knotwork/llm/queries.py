@@ -15,7 +15,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest of every row whose hash of the id is divisible by 50, out of all rows."""
-    near, _ = vectors.nearest(table(spark, d, "chunks", "chunk_id", "vector"), "chunk_id", every=50)
+    near, _ = vectors.neighbours(table(spark, d, "chunks", "chunk_id", "vector"), "chunk_id")
     paths = table(spark, d, "chunks", "chunk_id", "note_path").groupBy("chunk_id").agg(F.min("note_path").alias("note_path"))
     return near.join(paths, near["b"] == paths["chunk_id"], "left").select(F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), "note_path", F.round("cosine", 5).alias("cosine"), "place")
 
