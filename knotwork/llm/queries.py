@@ -94,7 +94,24 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_pieces,
 
 _RATIO = "CASE WHEN {b} > 0 THEN round({a}::DOUBLE / {b}, 6) END AS {name}"
 
+_BODY = r"""
+once AS (SELECT chunk_id, any_value(coalesce(heading, '')) AS heading, any_value(text) AS text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id),
+bodies AS (SELECT chunk_id, CASE WHEN heading <> '' AND starts_with(text, heading) THEN regexp_replace(substr(text, length(heading) + 1), '^[ \t\r\n]+', '') ELSE text END AS body FROM once)
+"""
+
 ORACLE = {
+    "p3_found": "WITH " + _BODY + r""",
+big AS (SELECT chunk_id, regexp_replace(body, '\r\n?', chr(10), 'g') AS body FROM bodies WHERE len(regexp_extract_all(body, '[^ \t\r\n]+')) > 320),
+paras AS (SELECT chunk_id, unnest(string_split_regex(body, '\n(?:[ \t]*\n)+')) AS p FROM big),
+sentences AS (SELECT chunk_id, p, string_split(regexp_replace(p, '([.!?]["'')\]”]*)[ \t\n]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM paras),
+sizes AS (SELECT chunk_id, max(len(regexp_extract_all(p, '[^ \t\r\n]+'))) AS longest, max(list_max(list_transform(ss, lambda x: len(regexp_extract_all(x, '[^ \t\r\n]+'))))) AS sentence FROM sentences GROUP BY chunk_id)
+SELECT chunk_id, CASE WHEN longest <= 320 THEN 'paragraph' WHEN sentence <= 320 THEN 'sentence' ELSE 'word' END AS cut_kind FROM sizes""",
+    "p6_found": "WITH " + _BODY + r""",
+words AS (SELECT chunk_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS ws FROM bodies),
+runs AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: hash(ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS s FROM words WHERE len(ws) >= 20),
+n AS (SELECT chunk_id, count(*) AS n FROM runs GROUP BY 1),
+shared AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM runs a JOIN runs b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k >= 0.5 * (x.n + y.n - k)""",
     "p9_stats": r"""
 WITH parts AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\r\n]+', '', 'g') AS solid,
