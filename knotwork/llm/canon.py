@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -83,9 +82,15 @@ def readings(value: str) -> list[list[str]]:
 
 
 def deletes(word: str, most: int = MOST_EDITS) -> set[str]:
+    """The word and what is left of it after up to `most` (at most 2) deletions, but never nothing."""
+    n = len(word)
     out = {word}
-    for n in range(1, min(most, len(word) - 1) + 1):
-        out.update("".join(c) for c in combinations(word, len(word) - n))
+    if most >= 1 and n > 1:
+        out.update([word[:i] + word[i + 1 :] for i in range(n)])
+    if most >= 2 and n > 2:
+        for i in range(n - 1):
+            head, rest = word[:i], word[i + 1 :]
+            out.update([head + rest[:j] + rest[j + 1 :] for j in range(n - 1 - i)])
     return out
 
 
@@ -141,8 +146,8 @@ class Deletes:
         if len(s) > self.longest + most:  # nothing is near, and very long values cost nothing
             return {}
         found: set[str] = set()
-        for d in deletes(s, most):
-            found.update(self.by.get(d, ()))
+        for d in self.by.keys() & deletes(s, most):
+            found.update(self.by[d])
         scored = ((x, distance(x, s, most)) for x in found)
         return {x: v for x, v in scored if v <= most}
 

@@ -87,6 +87,14 @@ def test_frequency_decides_in_any_number_of_blocks(spark, monkeypatch, block):
     assert {r["link_id"]: r["basename"] for r in c.map_values(links, ref).collect()} == {1: "bryan", 2: "brian"}
 
 
+@pytest.mark.parametrize("word", ["a", "ab", "abc", "aabb", "zonder"])
+@pytest.mark.parametrize("most", [0, 1, 2])
+def test_deletes(word, most):
+    from itertools import combinations
+
+    assert c.deletes(word, most) == {"".join(x) for n in range(min(most, len(word) - 1) + 1) for x in combinations(word, len(word) - n)}
+
+
 def test_distance_weights():
     assert c.distance("abc", "abc") == 0 and c.distance("abcd", "abdc") == 0.8 and c.distance("book", "bok") == 0.8
     assert c.distance("abc", "xbc") == 1 and c.distance("abcdef", "uvwxyz") == float("inf")
