@@ -10,7 +10,10 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class Settings:
+    """The defaults, with which results must be the same."""
+
     embedding_dim: int = 384
+    query_prefix: str = ""
     similarity_threshold: float = 0.15
     graph_distance_threshold: int = 2
     rrf_k: int = 60

@@ -169,6 +169,19 @@ def leaf_heading(breadcrumb: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.element_at(F.split(_c(breadcrumb), r"\s+>\s+"), -1), r"^#+\s*", ""))
 
 
+def locate_heading(text: Column | str, section: Column | str, passage: Column | str) -> Column:
+    """The line (from 0) of the first heading or bold line that equals, holds or is held by the section's heading, both plain;
+    else that of the passage's first 50 characters; else -1."""
+    text, want = F.coalesce(_c(text), F.lit("")), plain_heading(F.coalesce(_c(section), F.lit("")))
+    lines = F.transform(F.split(text, "\n"), lambda s, i: F.struct(i.alias("line"), F.trim(s).alias("s")))
+    heads = F.filter(lines, lambda x: F.startswith(x["s"], F.lit("#")) | F.startswith(x["s"], F.lit("**")))
+    plain = F.filter(F.transform(heads, lambda x: F.struct(x["line"].alias("line"), plain_heading(x["s"]).alias("s"))), lambda x: (x["s"] != "") & (F.contains(x["s"], want) | F.contains(want, x["s"])))
+    cut = F.substring(F.regexp_replace(F.coalesce(_c(passage), F.lit("")), r"^\s+|\s+$", ""), 1, 50)
+    at = F.when(cut != "", F.instr(text, cut)).otherwise(F.lit(0))
+    before = F.when(at > 0, F.size(F.split(F.substr(text, F.lit(1), at - 1), "\n")) - 1).otherwise(F.lit(-1))
+    return F.when((want != "") & (F.size(plain) > 0), F.element_at(plain, 1)["line"]).otherwise(before)
+
+
 def heading_and_body(text: Column | str) -> Column:
     """struct(heading, body) of a chunk whose first line may be a heading."""
     t = F.regexp_replace(_c(text), r"^\s+", "")

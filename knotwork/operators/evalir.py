@@ -14,6 +14,15 @@ def dedupe(results: DataFrame) -> DataFrame:
     return first.select("query_id", "note", F.row_number().over(Window.partitionBy("query_id").orderBy("r", "note")).alias("rank"))
 
 
+def ranked_notes(hits: DataFrame, depth: int) -> DataFrame:
+    """query_id, note, rank: the notes of hits(query_id, id, note, score) by their best chunk, down to a depth.
+
+    Notes are told apart before anything is ranked, and partial limits run before the shuffle; so no task ranks all hits of a query.
+    """
+    best = hits.select("query_id", eval_path("note").alias("note"), F.struct((-F.round("score", 9)).alias("s"), "id").alias("x")).groupBy("query_id", "note").agg(F.min("x").alias("x"))
+    return best.select("query_id", "note", F.row_number().over(Window.partitionBy("query_id").orderBy("x", "note")).alias("rank")).where(F.col("rank") <= depth)
+
+
 def per_query(results: DataFrame, expected: DataFrame) -> DataFrame:
     """A row for each query of expected(query_id, note): rr and first_hit_rank (0 if none), recall, precision, ap (4 places),
     n_expected and n_retrieved.

@@ -39,14 +39,15 @@ def find_note(notes: DataFrame, identifier: str) -> DataFrame:
     return notes.select(fits.alias("how"), "path").where("how IS NOT NULL").agg(F.min(F.struct("how", "path")).alias("x")).where("x IS NOT NULL").select("x.path")
 
 
-def hops(links: DataFrame, focus: DataFrame, most: int = 2, eager: bool = False) -> DataFrame:
+def hops(links: DataFrame, focus: DataFrame, most: int = 2, eager: bool = False, edges: DataFrame | None = None) -> DataFrame:
     """path and hop: shortest undirected distances over links from the paths of focus, up to most (1 to 5).
 
     One join a level, of the last frontier only; paths seen before are taken out by an anti-join. With eager, each
-    level is a written table, and the search stops when a frontier is empty.
+    level is a written table, and the search stops when a frontier is empty. edges are neighbours(links), if they are kept.
     """
     most = clamp(most, 1, 5) if not eager else clamp(most, 1, 10)
-    edges = written(neighbours(links), "edges") if eager else neighbours(links)
+    if edges is None:
+        edges = written(neighbours(links), "edges") if eager else neighbours(links)
     seen = focus.select("path").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for h in range(1, most + 1):
@@ -244,3 +245,15 @@ def add_inferred(inferred: DataFrame, new: DataFrame) -> DataFrame:
     rest = [c for c in new.columns if c not in ("src", "dst", "rel_type")]
     once = new.groupBy("src", "dst", "rel_type").agg(F.max_by(F.struct(*rest), F.struct("confidence", *[c for c in rest if c != "confidence"])).alias("x")).select("src", "dst", "rel_type", "x.*")
     return inferred.unionByName(once.join(inferred, ["src", "dst", "rel_type"], "left_anti").select(*inferred.columns))
+
+
+def inferred_exists(inferred: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) with known: whether the two have a relation, in either direction."""
+    both = inferred_pairs(inferred).select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.lit(True).alias("__known"))
+    rows = pairs.withColumn("__a", F.least("a", "b")).withColumn("__b", F.greatest("a", "b")).join(both, ["__a", "__b"], "left")
+    return rows.select(*pairs.columns, F.coalesce("__known", F.lit(False)).alias("known"))
+
+
+def live_tags(tags: DataFrame, note_tags: DataFrame) -> DataFrame:
+    """The rows of tags(tag, ...) that a note still has; the others are orphans and go."""
+    return tags.join(note_tags.select("tag").distinct(), "tag", "left_semi").select(*tags.columns)

@@ -63,7 +63,12 @@ class Limiter:
 def audit(calls: DataFrame, requests: int, tokens: int, by: str = "user_id") -> DataFrame:
     """calls(by, call_id, ts, tokens) with requests and tokens of the minute up to each call, and whether they keep the limits.
 
-    Windows are per caller, so no window spans the whole log.
+    Each call stands in its own minute and, as context, in the next one, and windows are per caller and minute; so no window holds
+    more than two minutes of one caller.
     """
-    minute = Window.partitionBy(by).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
-    return calls.withColumn("in_minute", F.count(F.lit(1)).over(minute)).withColumn("tokens_in_minute", F.sum("tokens").over(minute)).withColumn("kept", (F.col("in_minute") <= requests) & (F.col("tokens_in_minute") <= tokens))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = F.floor(micros / 60_000_000)
+    rows = calls.withColumn("__micros", micros).withColumn("__own", own).withColumn("__minute", F.explode(F.array(own, own + 1)))
+    minute = Window.partitionBy(by, "__minute").orderBy("__micros").rangeBetween(-60_000_000, 0)
+    counted = rows.withColumn("in_minute", F.count(F.lit(1)).over(minute)).withColumn("tokens_in_minute", F.sum("tokens").over(minute)).where("__own = __minute")
+    return counted.withColumn("kept", (F.col("in_minute") <= requests) & (F.col("tokens_in_minute") <= tokens)).drop("__micros", "__own", "__minute")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -24,6 +25,11 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+def embed_query(embedder: Embedder, query: str, prefix: str = "") -> list[float]:
+    """The vector of a query. Models that were trained with a prefix for queries get it; documents have none."""
+    return embedder.embed([prefix + (query if query.strip() else " ")])[0].tolist()
+
+
 class HashingEmbedder:
     """Unit vectors of signed hashed terms: deterministic, without a model."""
 
@@ -72,22 +78,41 @@ class LexicalIndex:
     terms: DataFrame
     totals: DataFrame
 
+    @classmethod
+    def of(cls, postings: DataFrame, totals: DataFrame) -> LexicalIndex:
+        return cls(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
+
+    def only(self, text: str) -> LexicalIndex:
+        """The part that a query needs. Kept postings are sorted by term, so the scan skips all other row groups."""
+        terms = sorted({t for t in re.split("[^a-z0-9]+", text.lower()) if t})
+        return LexicalIndex.of(self.postings.where(F.col("term").isin(terms or [None])), self.totals)
+
+
+def postings(docs: DataFrame, id_column: str = "id", text: str = "text", *more: str) -> DataFrame:
+    """term, id, dl, tf (and further columns of docs) for each term of each document; ids are distinct."""
+    split = docs.select(F.col(id_column).alias("id"), *more, search_terms(F.coalesce(text, F.lit(""))).alias("ts")).withColumn("dl", F.size("ts"))
+    return split.select("id", "dl", *more, F.explode("ts").alias("term")).groupBy("term", "id", "dl", *more).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def totals(docs: DataFrame, text: str = "text") -> DataFrame:
+    """n and avgdl. Texts without a term count as documents of length 0."""
+    return docs.select(F.size(search_terms(F.coalesce(text, F.lit("")))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
 
 def lexical_index(docs: DataFrame, id_column: str = "id", text: str = "text", keep: bool = True) -> LexicalIndex:
     """Of docs; ids are distinct. Texts without a term count as documents of length 0.
 
-    With keep, postings are a written table, so that documents are split once for any number of queries.
+    With keep, postings are a written table sorted by term, so that documents are split once for any number of queries
+    and a query reads the row groups of its terms only.
     """
-    split = docs.select(F.col(id_column).alias("id"), search_terms(F.coalesce(text, F.lit(""))).alias("ts")).withColumn("dl", F.size("ts"))
-    postings = split.select("id", "dl", F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    totals = split.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    rows, sums = postings(docs, id_column, text), totals(docs, text)
     if keep:
-        postings = written(postings, "postings")
-    return LexicalIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
+        rows, sums = written(rows.repartitionByRange("term").sortWithinPartitions("term", "id"), "postings"), written(sums, "totals")
+    return LexicalIndex.of(rows, sums)
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, k: int | None, settings: Settings | None = None) -> DataFrame:
-    """query_id, id, score, rank of queries(query_id, text). Blank queries find nothing; ties go to the smaller id.
+    """query_id, id, score, rank of queries(query_id, text); without k all hits, not ranked. Blank queries find nothing; ties go to the smaller id.
 
     Terms of the queries restrict the postings before anything is aggregated; idf and length are
     joined once a term.
@@ -100,7 +125,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int | None, settings: Setti
     terms = index.terms.join(used, "term", "left_semi").crossJoin(F.broadcast(index.totals)).select("term", "df", "n", "avgdl")
     hits = index.postings.join(terms, "term").join(asked, "term")
     scored = hits.groupBy("query_id", "id").agg(F.sum(idf * weight).alias("score"))
-    return top_k(scored, "query_id", [F.round("score", 9).desc(), F.col("id")], k)
+    return scored if k is None else top_k(scored, "query_id", [F.round("score", 9).desc(), F.col("id")], k)
 
 
 def top_k(df: DataFrame, by: str, order: list[Column], k: int | None) -> DataFrame:

@@ -26,7 +26,7 @@ class Dialect(Protocol):
     def resolve(self, links: DataFrame, index: LinkIndex) -> DataFrame: ...
 
 
-def _keeps(path: Column, folders: tuple[str, ...]) -> Column:
+def _keeps(path: Column, folders: tuple[str, ...], ignored: tuple[str, ...] = ()) -> Column:
     """No ignored or hidden folder on the way, and a visible file of a known kind (in lower case only)."""
     steps = F.split(path, "/")
     way = F.slice(steps, 1, F.size(steps) - 1)
@@ -35,7 +35,7 @@ def _keeps(path: Column, folders: tuple[str, ...]) -> Column:
     ends = F.lit(False)
     for e in EXTENSIONS:
         ends = ends | F.endswith(name, F.lit(e))
-    return ~hidden & ~F.startswith(name, F.lit(".")) & ends
+    return ~hidden & ~F.startswith(name, F.lit(".")) & ends & (~name.isin(*ignored) if ignored else F.lit(True))
 
 
 class NameLinks:
@@ -43,11 +43,14 @@ class NameLinks:
 
     name = "obsidian"
 
+    def __init__(self, ignored_files: tuple[str, ...] = ()):
+        self.ignored_files = ignored_files
+
     def can_handle(self, root: str) -> bool:
         return any((Path(root) / x).exists() for x in (".obsidian", "site-options.json", "publish.css"))
 
     def keeps(self, path: Column) -> Column:
-        return _keeps(path, IGNORED_FOLDERS)
+        return _keeps(path, IGNORED_FOLDERS, self.ignored_files)
 
     def title(self, given: Column, path: Column, body: Column) -> Column:
         return note_title(given, path, body)
@@ -61,11 +64,14 @@ class PathLinks:
 
     name = "commonmark"
 
+    def __init__(self, ignored_files: tuple[str, ...] = ()):
+        self.ignored_files = ignored_files
+
     def can_handle(self, root: str) -> bool:
         return not (Path(root) / ".obsidian").exists()
 
     def keeps(self, path: Column) -> Column:
-        return _keeps(path, (*IGNORED_FOLDERS, *SITE_FOLDERS))
+        return _keeps(path, (*IGNORED_FOLDERS, *SITE_FOLDERS), self.ignored_files)
 
     def title(self, given: Column, path: Column, body: Column) -> Column:
         return note_title(given, path)

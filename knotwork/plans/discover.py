@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.config import Settings
-from knotwork.functions.relations import parsed_relation
+from knotwork.config import RELATIONS, Settings
+from knotwork.functions.relations import DIRECTIONS, parsed_relation
 from knotwork.functions.text import pair_key, token_estimate
 from knotwork.operators import graph as g
 from knotwork.operators import relatedness as rel
@@ -104,15 +104,55 @@ class MockProvider:
         return json.dumps(known or {"rel_type": "NONE", "confidence": 0.5, "reason": "no answer"})
 
 
-def classify(found: DataFrame, notes: DataFrame, provider: Provider, limit: int, settings: Settings | None = None, now: datetime | None = None) -> DataFrame:
-    """Inferred relations (src, dst, rel_type, confidence, reason, model, created_at) of the best pairs of found.
+class WithFeedback:
+    """A provider that is asked again, with what was wrong, while its answer is no valid relation; at last the answer is NONE.
+
+    Providers that take a further argument get the fault as such; others are just asked again.
+    """
+
+    def __init__(self, provider: Provider, retries: int = 3):
+        self.provider, self.retries, self.name = provider, retries, provider.name
+
+    def classify(self, source_title: str, target_title: str, source_text: str, target_text: str) -> str:
+        fault = None
+        for _ in range(self.retries + 1):
+            if fault is not None and hasattr(self.provider, "classify_again"):
+                answer = self.provider.classify_again(source_title, target_title, source_text, target_text, fault)
+            else:
+                answer = self.provider.classify(source_title, target_title, source_text, target_text)
+            fault = answer_fault(answer)
+            if fault is None:
+                return answer
+        return json.dumps({"rel_type": "NONE", "confidence": 0.0, "reason": fault})
+
+
+def answer_fault(answer: str) -> str | None:
+    """What keeps an answer from being a valid relation; the same rules as functions.relations.parsed_relation()."""
+    begin, end = answer.find("{"), answer.rfind("}")
+    try:
+        x = json.loads(answer[begin : end + 1]) if 0 <= begin < end else None
+    except ValueError as e:
+        return f"not valid JSON: {e}"
+    if not isinstance(x, dict):
+        return "no JSON object"
+    if set(x) - {"rel_type", "confidence", "reason", "direction"}:
+        return "unknown keys"
+    if str(x.get("rel_type")).strip().upper() not in RELATIONS:
+        return f"rel_type must be one of {', '.join(RELATIONS)}"
+    if isinstance(x.get("confidence"), bool) or not isinstance(x.get("confidence"), int | float) or not 0 <= x["confidence"] <= 1:
+        return "confidence must be a number from 0 to 1"
+    return None if x.get("direction", DIRECTIONS[0]) in DIRECTIONS else f"direction must be one of {', '.join(DIRECTIONS)}"
+
+
+def classify(found: DataFrame, notes: DataFrame, provider: Provider, limit: int | None, settings: Settings | None = None, now: datetime | None = None) -> DataFrame:
+    """Inferred relations (src, dst, rel_type, confidence, reason, model, created_at) of the best pairs of found, or of all without limit.
 
     notes(path, title, text). Answers that are no valid relation, NONE, and those of low confidence are dropped. The provider
     is called where the rows are; retries are its own.
     """
     s = settings or Settings()
     clip = F.substring("text", 1, s.excerpt_chars)
-    best = found.orderBy(F.desc("final_score"), "a", "b").limit(limit)
+    best = found if limit is None else found.orderBy(F.desc("final_score"), "a", "b").limit(limit)
     x = notes.select(F.col("path").alias("a"), F.col("title").alias("ta"), clip.alias("xa"))
     y = notes.select(F.col("path").alias("b"), F.col("title").alias("tb"), clip.alias("xb"))
     rows = best.join(x, "a").join(y, "b").select("a", "b", "ta", "tb", "xa", "xb")
@@ -139,3 +179,26 @@ def note_flags(found: DataFrame, inferred: DataFrame) -> DataFrame:
     a = found.select(F.explode(F.array("a", "b")).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n_gaps"))
     b = inferred.select(F.explode(F.array("src", "dst")).alias("path"), "rel_type").groupBy("path").agg(F.bool_or(F.col("rel_type") == "CONTRADICTS").alias("has_contradiction"))
     return a.join(b, "path", "full").select("path", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), F.coalesce("has_contradiction", F.lit(False)).alias("has_contradiction"))
+
+
+def best_evidence(found: DataFrame, chunks: DataFrame, floor: float = rel.FLOOR, dim: int = 64) -> DataFrame:
+    """found with best_i, best_j and best_sim: the two chunks of each pair that are nearest (of equal ones the smallest ids)."""
+    sides = rel.all_sides(found.select("a", "b").distinct(), chunks, dim)
+    best = sides.groupBy("a", "b").agg(F.min(F.struct((-F.round("sim", 5)).alias("down"), "i", "j")).alias("x"))
+    return found.join(best.select("a", "b", F.col("x.i").alias("best_i"), F.col("x.j").alias("best_j"), (-F.col("x.down")).alias("best_sim")), ["a", "b"], "left")
+
+
+def discover(chunks: DataFrame, graph: g.Graph, notes: DataFrame, inferred: DataFrame, provider: Provider, limit: int = 10, dismissed: DataFrame | None = None, settings: Settings | None = None, dim: int = 64) -> tuple[DataFrame, dict]:
+    """(inferred with the new relations, what was done): gaps, the best of them asked about with feedback, valid answers kept once.
+
+    The numbers: gaps, asked, kept (as relations), new (that were not there) and the estimated tokens.
+    """
+    s = settings or Settings()
+    found = written(gaps(chunks, graph, inferred, dismissed, settings=s, dim=dim), "gaps")
+    top = written(found.orderBy(F.desc("final_score"), "a", "b").limit(limit), "asked")
+    said = written(classify(top, notes, WithFeedback(provider, s.max_retries), None, s), "relations")
+    after = written(g.add_inferred(inferred, said.select(*inferred.columns)), "inferred")
+    asked = top.join(notes.select(F.col("path").alias("a"), F.substring("text", 1, s.excerpt_chars).alias("prompt")), "a").withColumn("system", F.lit(""))
+    tokens = estimate(asked).first()
+    done = {"gaps": found.count(), "asked": top.count(), "kept": said.count(), "new": after.count() - inferred.count(), "prompt_tokens": tokens["prompt_tokens"], "completion_tokens": tokens["completion_tokens"]}
+    return after, done

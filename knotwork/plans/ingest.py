@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import shutil
+import json
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -18,55 +19,71 @@ from knotwork.operators.cache import QueryCache
 from knotwork.operators.chunking import chunk_notes
 from knotwork.operators.graph import LINK, Graph
 from knotwork.operators.graph import stats as graph_stats
-from knotwork.operators.retrieval import Embedder, HashingEmbedder, embed_column
+from knotwork.operators.resolve import LinkIndex
+from knotwork.operators.retrieval import Embedder, HashingEmbedder, LexicalIndex, embed_column, postings
 from knotwork.plans.dialects import Dialect, detect
+from knotwork.plans.search import Library
 from knotwork.sources import vault
+from knotwork.store import Files
 
 TABLES = {
     "notes": "path string, title string, hash string, mtime double, is_unresolved boolean",
     "links": "src string, dst string, anchor string, alias string, is_embed boolean",
     "note_tags": "path string, tag string",
+    "names": "path string, aliases array<string>",
     "chunks": "chunk_id string, note_path string, note_title string, heading string, text string, vector array<float>, chunk_index int, mtime double",
+    "postings": "term string, id string, dl int, note_path string, tf bigint",
+    "totals": "n bigint, length bigint",
     "tracked": "path string, mtime double",
 }
 
 
 class Store:
-    """Snapshots of the tables as Parquet; a new one counts once its name is written, so readers see whole ones only."""
+    """Tables as Parquet, and manifests that say where the current files of each are; so readers see whole versions only.
+
+    A version writes the tables it changes, all others stay where they are. Everything goes through the file system that Spark
+    writes to. Two writers at once: the one that comes second is refused.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+        self.spark, self.folder, self.files = spark, folder.rstrip("/"), Files(spark)
 
-    def current(self) -> str | None:
-        f = self.folder / "CURRENT"
-        return f.read_text() if f.exists() else None
+    def manifest(self) -> tuple[int, dict[str, str]]:
+        """The number of the current version (0 if none) and the folder of each table."""
+        done = [x for x in self.files.names(self.folder) if x.startswith("manifest-") and x.endswith(".json")]
+        return (int(done[-1][9:-5]), json.loads(self.files.read(f"{self.folder}/{done[-1]}"))) if done else (0, {})
 
     def read(self, name: str) -> DataFrame:
-        at = self.current()
-        path = self.folder / at / name if at else None
-        if path is None or not path.exists():
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(str(path))
+        at = self.manifest()[1].get(name)
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{at}") if at else self.spark.createDataFrame([], TABLES[name])
 
     def graph(self) -> Graph:
         return Graph(self.read("notes"), self.read("links"), self.read("note_tags"))
 
-    def write(self, version: str, tables: dict[str, DataFrame]) -> None:
-        """All tables of the version; those not given are carried over."""
-        old = self.current()
-        for name in TABLES:
-            df = tables.get(name)
-            (self.read(name) if df is None else df).write.mode("overwrite").parquet(str(self.folder / version / name))
-        mark = self.folder / "CURRENT.new"
-        mark.write_text(version)
-        mark.replace(self.folder / "CURRENT")
-        if old and old != version:
-            shutil.rmtree(self.folder / old, ignore_errors=True)
+    def index(self) -> LexicalIndex:
+        """The kept lexical index: nothing is split again for a search."""
+        return LexicalIndex.of(self.read("postings").drop("note_path"), self.read("totals").select("n", (F.col("length") / F.col("n")).alias("avgdl")))
+
+    def library(self, embedder: Embedder) -> Library:
+        return Library(self.read("chunks"), self.index(), embedder, self.graph())
+
+    def write(self, tables: dict[str, DataFrame]) -> None:
+        """A version with these tables; those not given are the ones of the version before."""
+        number, places = self.manifest()
+        new = {}
+        for name, df in tables.items():
+            new[name] = f"{name}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.folder}/{new[name]}")
+        if not self.files.create(f"{self.folder}/manifest-{number + 1:010d}.json", json.dumps(places | new)):
+            for path in new.values():
+                self.files.delete(f"{self.folder}/{path}")
+            raise RuntimeError("another writer has changed the store")
+        for name in new:
+            if name in places:
+                self.files.delete(f"{self.folder}/{places[name]}")
 
     def clear(self) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
-        self.folder.mkdir(parents=True)
+        self.files.delete(self.folder)
 
 
 @dataclass
@@ -90,7 +107,7 @@ def ingest(spark: SparkSession, root: str, store: Store, target: str = "all", di
     s = settings or Settings()
     d = detect(root, dialect) if not hasattr(dialect, "keeps") else dialect
     say("scan", 0.0)
-    files = vault.scan(spark, root, d).persist()
+    files = vault.scan(spark, root, d, only).persist()
     out = IngestStats()
     tables: dict[str, DataFrame] = {}
     old = store.graph()
@@ -98,24 +115,32 @@ def ingest(spark: SparkSession, root: str, store: Store, target: str = "all", di
     try:
         parsed = vault.parse(files, d)
         notes = parsed.notes.persist()
-        status = delta.classify(old.notes, notes).where(in_scope).persist()
+        status = delta.classify(old.notes.where(in_scope), notes).persist()
+        names = notes.select("path", "aliases")
+        if only is not None:  # the other notes' names are kept, so that no other file is read
+            names = store.read("names").where(~in_scope).unionByName(names)
         say("graph", 0.3)
         if target != "vector":
             out.graph = delta.counts(status)
-            links = d.resolve(parsed.raw_links, vault.link_index(notes)).select(F.col("source_path").alias("src"), F.col("target_path").alias("dst"), "anchor", "alias", "is_embed").distinct()
+            links = d.resolve(parsed.raw_links, LinkIndex.of(names)).select(F.col("source_path").alias("src"), F.col("target_path").alias("dst"), "anchor", "alias", "is_embed").distinct()
             tags = notes.select("path", F.explode("tags").alias("tag")).distinct()
             after = delta.apply(old, status, notes, links, tags)
-            tables |= {"notes": after.notes, "links": after.links.select(*LINK), "note_tags": after.note_tags}
+            tables |= {"notes": after.notes, "links": after.links.select(*LINK), "note_tags": after.note_tags, "names": names}
         if target != "graph":
             say("vector", 0.6)
-            changes = delta.vector_changes(store.read("tracked"), files).where(in_scope).persist()
+            changes = delta.vector_changes(store.read("tracked").where(in_scope), files).persist()
             got = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
             out.notes_embedded, out.notes_dropped = got.get("embed", 0), got.get("delete", 0)
             fresh = files.join(changes.where("status = 'embed'"), "path", "left_semi")
             made = chunk_notes(fresh.select("path", stem("path").alias("title"), "content"), s.chunk_min_words, s.chunk_max_words, s.chunk_overlap_words)
             made = embed_column(made, "text", embedder or HashingEmbedder(s.embedding_dim)).join(files.select(F.col("path").alias("note_path"), "mtime"), "note_path")
             changed = changes.where("status <> 'keep'").select(F.col("path").alias("note_path"))
+            made = made.persist()
             tables["chunks"] = delta.replace_chunks(store.read("chunks"), changed, made)
+            before, added = store.read("postings"), postings(made, "chunk_id", "text", "note_path")
+            now = before.join(changed, "note_path", "left_anti").select(*before.columns).unionByName(added.select(*before.columns))
+            tables["postings"] = now.repartitionByRange("term").sortWithinPartitions("term", "id")
+            tables["totals"] = _totals(store, changed, made, before, added)
             kept = store.read("tracked").join(changed.withColumnRenamed("note_path", "path"), "path", "left_anti")
             tables["tracked"] = kept.unionByName(fresh.select("path", "mtime"))
         if cache is not None:
@@ -123,7 +148,7 @@ def ingest(spark: SparkSession, root: str, store: Store, target: str = "all", di
                 cache.clear()
             else:
                 cache.evict_for(r["path"] for r in status.where("status IN ('modified', 'deleted')").select("path").toLocalIterator())
-        store.write(f"v{time.time_ns()}", tables)
+        store.write(tables)
         out.counts = graph_stats(store.graph()).first().asDict()
     finally:
         spark.catalog.clearCache()
@@ -132,8 +157,19 @@ def ingest(spark: SparkSession, root: str, store: Store, target: str = "all", di
     return out
 
 
+def _totals(store: Store, changed: DataFrame, made: DataFrame, before: DataFrame, added: DataFrame) -> DataFrame:
+    """Number and length of all chunks, from what it was and what goes and comes."""
+
+    def of(chunks: DataFrame, terms: DataFrame, sign: int) -> DataFrame:
+        one, two = chunks.agg(F.count(F.lit(1)).alias("n")), terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length"))
+        return one.crossJoin(two).select((F.col("n") * sign).alias("n"), (F.col("length") * sign).alias("length"))
+
+    gone = of(store.read("chunks").join(changed, "note_path", "left_semi"), before.join(changed, "note_path", "left_semi"), -1)
+    return store.read("totals").unionByName(gone).unionByName(of(made, added, 1)).agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+
+
 def reindex(spark: SparkSession, root: str, store: Store, path: str, **kw) -> IngestStats:
-    """One note: the same delta, restricted to its path."""
+    """One note: the same delta, restricted to its path; no other file is read."""
     full = (Path(root) / path).resolve()
     if not full.is_relative_to(Path(root).resolve()):
         raise ValueError("the path leads out of the vault")

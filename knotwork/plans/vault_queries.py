@@ -17,7 +17,7 @@ from knotwork.plans import discover
 from knotwork.plans.search import Library, search
 from knotwork.sources import vault
 from knotwork.sources.tables import table
-from knotwork.store import written
+from knotwork.store import Files, kept, written
 from knotwork.streaming.sync import debounce
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,26 @@ def unit_chunks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("chunk_id").alias("id"), F.col("note_path").alias("note"), "text", F.transform("vector", lambda x: x.cast("double") / r.norm(F.col("vector"))).alias("vector"))
 
 
+def library(spark: SparkSession, d: str) -> Library:
+    """The tables as an index that is kept: postings by term, unit vectors, graph and its edges. Made once, and again after a change."""
+    files = Files(spark)
+    stamp = tuple(files.changed(f"{d}/{n}.parquet") for n in ("chunks", "notes", "resolved_links", "note_tags"))
+
+    def build() -> dict[str, DataFrame]:
+        unit, graph = written(unit_chunks(spark, d), "unit"), graph_now(spark, d)
+        # the search takes stored vectors as they are, so it is given unit vectors
+        chunks = chunks_now(spark, d).drop("vector").join(unit.select(F.col("id").alias("chunk_id"), "vector"), "chunk_id", "left")
+        chunks = written(chunks.select("chunk_id", "note_path", "note_title", "heading", "text", "vector"), "library")
+        index = r.lexical_index(chunks, "chunk_id")
+        notes, links, tags = written(graph.notes, "notes"), written(graph.links, "links"), written(graph.note_tags, "tags")
+        return {"unit": unit, "chunks": chunks, "postings": index.postings, "totals": index.totals, "notes": notes, "links": links, "tags": tags, "edges": written(g.neighbours(links), "edges")}
+
+    t = kept(spark, ("library", d, stamp), build)
+    lib = Library(t["chunks"], r.LexicalIndex.of(t["postings"], t["totals"]), r.HashingEmbedder(64), g.Graph(t["notes"], t["links"], t["tags"]), t["edges"])
+    lib.unit = t["unit"]
+    return lib
+
+
 def top_hub(spark: SparkSession, d: str) -> tuple[str, str]:
     row = table(spark, d, "hub_notes", "path", "title", "backlinks_count").orderBy(F.desc("backlinks_count"), "path").first()
     return (row["path"], row["title"] or "") if row else ("", "")
@@ -179,12 +199,12 @@ def hop_histogram(spark, d):
     return g.hops(graph.links, graph.notes.where(F.col("path") == top_hub(spark, d)[0]), 3, eager=True).groupBy("hop").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_HOPS + """, goal AS (SELECT path FROM last_hub),
-ways AS (
-  SELECT 1 AS hops, [f.path, g.path] AS p FROM focus f JOIN edges e ON e.u = f.path JOIN goal g ON e.v = g.path
-  UNION ALL SELECT 2, min([f.path, e.v, g.path]) FROM focus f JOIN edges e ON e.u = f.path JOIN edges k ON k.u = e.v JOIN goal g ON k.v = g.path HAVING count(*) > 0
-  UNION ALL SELECT 3, min([f.path, e.v, k.v, g.path]) FROM focus f JOIN edges e ON e.u = f.path JOIN edges k ON k.u = e.v JOIN edges l ON l.u = k.v JOIN goal g ON l.v = g.path HAVING count(*) > 0)
-SELECT (SELECT path FROM top_hub) AS source, (SELECT path FROM goal) AS target, hops > 0 AS found, hops, path FROM (SELECT hops, array_to_string(p, ' > ') AS path, hops AS k FROM ways UNION ALL SELECT -1, '', 99) ORDER BY k LIMIT 1""")
+@query(_HOPS.replace("WITH", "WITH RECURSIVE", 1) + """, goal AS (SELECT path FROM last_hub),
+d1 AS (SELECT path, 0 AS h FROM focus), dist AS (SELECT path, h FROM d1 UNION SELECT e.v, h + 1 FROM dist JOIN edges e ON e.u = dist.path WHERE h < 5),
+low AS (SELECT path, min(h) AS h FROM dist GROUP BY path),
+ways AS (SELECT path, 0 AS h, [path] AS p FROM focus
+  UNION ALL SELECT v, h, min(p) FROM (SELECT e.v, w.h + 1 AS h, list_append(w.p, e.v) AS p FROM ways w JOIN edges e ON e.u = w.path JOIN low l ON l.path = e.v AND l.h = w.h + 1) GROUP BY v, h)
+SELECT (SELECT path FROM top_hub) AS source, (SELECT path FROM goal) AS target, hops >= 0 AS found, hops, path FROM (SELECT h AS hops, array_to_string(p, ' > ') AS path, h AS k FROM ways WHERE path = (SELECT path FROM goal) UNION ALL SELECT -1, '', 99) ORDER BY k LIMIT 1""")
 def shortest_path(spark, d):
     graph = graph_now(spark, d)
     return g.bridge(graph.links, graph.notes, top_hub(spark, d)[0], last_hub(spark, d)).withColumn("path", F.array_join("path", " > "))
@@ -319,11 +339,6 @@ def link_resolution_cascade(spark, d):
     return resolve_by_name(_wikilinks(spark, d), _index(spark, d)).select("link_id", "target_path", "is_unresolved", "step")
 
 
-@query()
-def link_resolution_paths(spark, d):
-    return resolve_by_path(_wikilinks(spark, d), _index(spark, d)).select("link_id", "target_path", "is_unresolved", "step")
-
-
 @query("SELECT DISTINCT target_path, CASE WHEN p = '' THEN '.' ELSE p END AS normal FROM (SELECT target_path, array_to_string(list_filter(string_split(target_path, '/'), lambda x: x NOT IN ('', '.')), '/') AS p FROM resolved_links WHERE target_path IS NOT NULL AND NOT contains(target_path, '..'))")
 def path_normalised(spark, d):
     rows = table(spark, d, "resolved_links", "target_path").where("target_path IS NOT NULL AND NOT contains(target_path, '..')").distinct()
@@ -352,16 +367,12 @@ def _hub_queries(spark, d) -> DataFrame:
     return table(spark, d, "hub_notes", "path", "title").where("title IS NOT NULL").select(F.col("path").alias("query_id"), F.col("title").alias("text")).distinct()
 
 
-def _texts(spark, d) -> DataFrame:
-    return table(spark, d, "chunks", "chunk_id", "text").where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
-
-
 def _sparse(spark, d, k: int | None = 20) -> DataFrame:
-    return r.bm25(r.lexical_index(_texts(spark, d), "chunk_id"), _hub_queries(spark, d), k)
+    return r.bm25(library(spark, d).index, _hub_queries(spark, d), k)
 
 
 def _dense(spark, d, k: int = 20) -> DataFrame:
-    unit = written(unit_chunks(spark, d), "unit")
+    unit = library(spark, d).unit
     own = table(spark, d, "hub_notes", "path").distinct().join(unit, F.col("path") == F.col("note")).groupBy("path").agg(F.min_by("vector", "id").alias("vector"))
     near = r.knn_join(unit, k, queries=own.withColumnRenamed("path", "id"))
     return near.select(F.col("a").alias("query_id"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("distance"), "rank")
@@ -418,9 +429,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def _boosted(spark, d) -> DataFrame:
-    graph = graph_now(spark, d)
-    fused = r.fuse(_dense(spark, d), _sparse(spark, d)).join(chunks_now(spark, d, "note_path").select(F.col("chunk_id").alias("id"), "note_path"), "id")
-    return r.boost(fused, g.hops(graph.links, graph.notes.where(F.col("path") == top_hub(spark, d)[0]), 2))
+    lib = library(spark, d)
+    fused = r.fuse(_dense(spark, d), _sparse(spark, d)).join(lib.chunks.select(F.col("chunk_id").alias("id"), "note_path"), "id")
+    return r.boost(fused, g.hops(lib.graph.links, lib.graph.notes.where(F.col("path") == top_hub(spark, d)[0]), 2, edges=lib.edges))
 
 
 @query(_BOOST + "SELECT query_id, id, score, hop AS hop_distance, rank FROM ranked")
@@ -442,13 +453,9 @@ def tag_filter_any(spark, d):
 @query(_BOOST.replace("rank <= 20", "rank <= 50") + " SELECT id AS chunk_id, note_path, score, hop AS hop_distance FROM ranked WHERE query_id = (SELECT path FROM hub_notes WHERE path IN (SELECT query_id FROM qv) AND title IS NOT NULL ORDER BY backlinks_count DESC, path LIMIT 1) AND starts_with(lower(note_path), 'projects/') ORDER BY rank LIMIT 10")
 def hybrid_search_near(spark, d):
     """Title and first vector of the best-linked hub that has one, near the best-linked hub of all."""
-    chunks, unit = chunks_now(spark, d), written(unit_chunks(spark, d), "unit")
+    lib = library(spark, d)
     hub = table(spark, d, "hub_notes", "path", "title", "backlinks_count").where("title IS NOT NULL")
-    own = hub.join(unit, F.col("path") == F.col("note")).orderBy(F.desc("backlinks_count"), "path", "id").first()
-    # the search takes stored vectors as they are, so it is given unit vectors
-    chunks = chunks.drop("vector").join(unit.select(F.col("id").alias("chunk_id"), "vector"), "chunk_id", "left")
-    kept = written(chunks.select("chunk_id", "note_path", "note_title", "heading", "text", "vector"), "library")
-    lib = Library(kept, r.lexical_index(kept, "chunk_id"), r.HashingEmbedder(64), graph_now(spark, d))
+    own = hub.join(lib.unit, F.col("path") == F.col("note")).orderBy(F.desc("backlinks_count"), "path", "id").first()
     asked, v = (own["title"], list(own["vector"])) if own else ("", None)
     return search(lib, asked, near=top_hub(spark, d)[0], limit=10, folder="projects", vector=v).select("chunk_id", "note_path", "score", "hop_distance")
 
@@ -497,15 +504,20 @@ def pair_resemblance(spark, d):
     return _scored(spark, d, False).select("a", "b", "resemblance", "containment", "best", "final_score")
 
 
-@query(_SCORE + "SELECT a, b, kind FROM scored")
-def relationship_label(spark, d):
-    """Labels without the clause on the number of matches, which is the one part that no SQL states."""
-    return _scored(spark, d, False).select("a", "b", "kind")
+#: The greedy one-to-one matching of the chunks of two notes, one step for each pair of chunks.
+GREEDY = """,
+strong AS (SELECT a, b, i, j, row_number() OVER (PARTITION BY a, b ORDER BY round(sim, 5) DESC, i, j) AS r FROM m WHERE sim >= 0.65),
+greedy AS (SELECT a, b, 0::BIGINT AS r, []::VARCHAR[] AS ui, []::VARCHAR[] AS uj FROM (SELECT DISTINCT a, b FROM strong)
+  UNION ALL SELECT g.a, g.b, s.r, CASE WHEN list_contains(g.ui, s.i) OR list_contains(g.uj, s.j) THEN g.ui ELSE list_append(g.ui, s.i) END, CASE WHEN list_contains(g.ui, s.i) OR list_contains(g.uj, s.j) THEN g.uj ELSE list_append(g.uj, s.j) END
+  FROM greedy g JOIN strong s ON s.a = g.a AND s.b = g.b AND s.r = g.r + 1),
+matches AS (SELECT a, b, max(len(ui))::BIGINT AS n_matches FROM greedy GROUP BY a, b)
+"""
 
 
-@query()
-def evidence_matching(spark, d):
-    return _scored(spark, d, True).select("a", "b", "n_matches", "kind", "summary")
+@query(_SCORE.replace("WITH ", "WITH RECURSIVE ", 1) + GREEDY + """SELECT a, b, CASE WHEN cont >= 0.5 AND (least(n_i, n_j) <= 2 OR cont >= 1.8 * greatest(res, 1e-4)) THEN 'CONTAINMENT' WHEN (res >= 0.18 AND low >= 0.12) OR (n_matches >= 3 AND res >= 0.14) THEN 'DEEP_OVERLAP'
+  WHEN best >= 0.72 THEN 'SHARED_CONCEPT' ELSE 'WEAK_OVERLAP' END AS kind FROM s JOIN matches USING (a, b)""")
+def relationship_label(spark, d):
+    return _scored(spark, d, True).select("a", "b", "kind")
 
 
 _FAR = _SCORE + "," + _NOTES + """,
@@ -513,7 +525,6 @@ two AS (SELECT u AS a, v AS b FROM edges UNION SELECT e.u, k.v FROM edges e JOIN
 far AS (SELECT s.* FROM scored s LEFT JOIN two t ON t.a = s.a AND t.b = s.b WHERE t.a IS NULL AND final_score >= 0.15)
 """
 
-
 @query(_FAR + "SELECT a, b, final_score FROM far")
 def gap_antijoin(spark, d):
     return discover.gaps(written(unit_chunks(spark, d), "unit"), graph_now(spark, d), with_evidence=False).select("a", "b", "final_score")
@@ -564,11 +575,15 @@ def delta_classify(spark, d):
     return _status(spark, d)
 
 
-@query(_DELTA + "SELECT chunk_id, note_path FROM (SELECT DISTINCT chunk_id, note_path FROM chunks WHERE chunk_id IS NOT NULL) WHERE note_path IS NULL OR note_path NOT IN (SELECT path FROM status WHERE status = 'deleted')")
+@query(_DELTA + """, gone AS (SELECT path FROM status WHERE status IN ('deleted', 'modified')), c AS (SELECT DISTINCT chunk_id, note_path, mtime FROM chunks WHERE chunk_id IS NOT NULL)
+SELECT chunk_id, note_path, mtime FROM c WHERE note_path IS NULL OR note_path NOT IN (FROM gone)
+UNION ALL SELECT chunk_id || '/new', note_path, mtime + 1 FROM c WHERE note_path IN (SELECT path FROM status WHERE status = 'modified')""")
 def chunk_upsert(spark, d):
-    rows = table(spark, d, "chunks", "chunk_id", "note_path").where("chunk_id IS NOT NULL").distinct()
-    gone = _status(spark, d).where("status = 'deleted'").select(F.col("path").alias("note_path"))
-    return delta.replace_chunks(rows, gone, rows.where("false"))
+    """Chunks of deleted and modified notes go, new ones of the modified notes come."""
+    rows = table(spark, d, "chunks", "chunk_id", "note_path", "mtime").where("chunk_id IS NOT NULL").distinct()
+    of = lambda *s: _status(spark, d).where(F.col("status").isin(*s)).select(F.col("path").alias("note_path"))
+    new = rows.join(of("modified"), "note_path", "left_semi").select(F.concat("chunk_id", F.lit("/new")).alias("chunk_id"), "note_path", (F.col("mtime") + 1).alias("mtime"))
+    return delta.replace_chunks(rows, of("deleted", "modified"), new)
 
 
 _OLDG = _DELTA + """,
@@ -606,16 +621,6 @@ def vector_delta(spark, d):
     return delta.vector_changes(vault.tracked_notes(table(spark, d, "chunks", "note_path", "mtime")).withColumnRenamed("note_path", "path"), notes_now(spark, d))
 
 
-@query()
-def delta_applied(spark, d):
-    """The graph after the whole delta; every note with its state and number of links."""
-    status = written(_status(spark, d), "status")
-    notes = notes_at(spark, d, None).select("path", text.stem("path").alias("title"), "hash", F.lit(2.0).alias("mtime"))
-    after = delta.apply(_old_graph(spark, d), status, notes, links_now(spark, d), tags_now(spark, d))
-    n = after.links.groupBy(F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("n_links"))
-    return after.notes.join(n, "path", "left").select("path", "hash", "is_unresolved", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
 # --- cache, limits, streams ----------------------------------------------------------------------------------
 
 
@@ -687,8 +692,8 @@ def json_relation_validate(spark, d):
 
 _IR = _BM + r""",
 exp0 AS (SELECT DISTINCT target_path AS query_id, lower(ltrim(trim(source_path), '/')) AS note FROM resolved_links WHERE target_path IN (SELECT path FROM hub_notes) AND trim(source_path) <> ''),
-nr AS (SELECT s.query_id, lower(ltrim(trim(c.note_path), '/')) AS note, min(s.rank) AS r FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm)) s JOIN ch c ON c.chunk_id = s.id GROUP BY ALL),
-ret AS (SELECT query_id, note, row_number() OVER (PARTITION BY query_id ORDER BY r, note) AS rank FROM nr),
+nr AS (SELECT s.query_id, lower(ltrim(trim(c.note_path), '/')) AS note, min(struct_pack(s := -round(score, 9), id := s.id)) AS r FROM bm s JOIN ch c ON c.chunk_id = s.id GROUP BY ALL),
+ret AS (SELECT * FROM (SELECT query_id, note, row_number() OVER (PARTITION BY query_id ORDER BY r, note) AS rank FROM nr) WHERE rank <= 100),
 ne AS (SELECT query_id, count(*) AS n_expected FROM exp0 GROUP BY 1), ng AS (SELECT query_id, count(*) AS n_retrieved FROM ret GROUP BY 1),
 hit AS (SELECT query_id, min(rank) AS first, count(*) AS hits, sum(k / rank) AS parts FROM (SELECT r.query_id, r.rank, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS k FROM ret r JOIN exp0 USING (query_id, note)) GROUP BY 1),
 pq AS (SELECT query_id, coalesce(round(1 / first, 4), 0) AS rr, coalesce(first, 0) AS first_hit_rank, round(coalesce(hits, 0) / n_expected, 4) AS recall, coalesce(round(coalesce(hits, 0) / n_retrieved, 4), 0) AS precision, round(coalesce(parts, 0) / n_expected, 4) AS ap, n_expected, coalesce(n_retrieved, 0) AS n_retrieved FROM ne LEFT JOIN ng USING (query_id) LEFT JOIN hit USING (query_id))
@@ -696,12 +701,12 @@ pq AS (SELECT query_id, coalesce(round(1 / first, 4), 0) AS rr, coalesce(first,
 
 
 def _measured(spark, d) -> DataFrame:
-    """Hub titles as queries; expected are the notes that link to the hub."""
+    """Hub titles as queries, graded down to 100 notes; expected are the notes that link to the hub."""
     found = _sparse(spark, d, None).join(chunks_now(spark, d, "note_path").select(F.col("chunk_id").alias("id"), F.col("note_path").alias("note")), "id")
     hub = table(spark, d, "hub_notes", "path").distinct()
     links = table(spark, d, "resolved_links", "source_path", "target_path").where("trim(source_path) <> ''").distinct()
     expected = links.join(F.broadcast(hub), F.col("target_path") == F.col("path"), "left_semi").select(F.col("target_path").alias("query_id"), F.col("source_path").alias("note"))
-    return evalir.per_query(evalir.dedupe(found), expected)
+    return evalir.per_query(evalir.ranked_notes(found, 100), expected)
 
 
 @query(_IR + "SELECT query_id, rr, first_hit_rank FROM pq")
@@ -725,11 +730,3 @@ def ir_aggregate(spark, d):
     return evalir.aggregate(_measured(spark, d))
 
 
-@query()
-def heading_chunks(spark, d):
-    """The chunker over all pages' texts, each with its source as title."""
-    from knotwork.operators.chunking import chunk_notes
-
-    docs = table(spark, d, "documents", "doc_id", "source", "text").where("text IS NOT NULL")
-    return chunk_notes(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("title"), F.col("text").alias("content"))).select("chunk_id", "heading", "token_count", "start_char", "end_char")
-

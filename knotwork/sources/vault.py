@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,24 @@ from knotwork.functions.frontmatter import frontmatter
 from knotwork.functions.text import all_links, clean_names, file_name, inline_tags, mask_code
 from knotwork.operators.resolve import LinkIndex
 from knotwork.plans.dialects import Dialect, NameLinks
+from knotwork.store import Files
 
 
-def scan(spark: SparkSession, root: str, dialect: Dialect | None = None) -> DataFrame:
-    """path (from the root), mtime (seconds) and content of the vault's notes; files are read where they are."""
+def scan(spark: SparkSession, root: str, dialect: Dialect | None = None, only: list[str] | None = None) -> DataFrame:
+    """path (from the root), mtime (seconds) and content of the vault's notes; files are read where they are.
+
+    With only, no other files than those are looked at; one that is not there gives no row.
+    """
     dialect = dialect or NameLinks()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown,mdx}").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown,mdx}")
+    if only is not None:
+        there = Files(spark)
+        full = [f"{root.rstrip('/')}/{p}" for p in only if there.exists(f"{root.rstrip('/')}/{p}")]
+        if not full:
+            return spark.createDataFrame([], "path string, mtime double, content string")
+        files = reader.load([re.sub(r"([\\{}\[\]*?])", r"\\\1", x) for x in full])
+    else:
+        files = reader.load(root)
     inner = F.regexp_replace("path", "^[a-z]+:/*", "/")
     path = F.substr(inner, F.lit(len(root.rstrip("/").split("://")[-1]) + 2))
     kept = files.select(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("p"), path.alias("raw"), F.col("modificationTime").cast("double").alias("mtime"), "content")
@@ -111,6 +124,11 @@ def tracked_notes(chunks: DataFrame) -> DataFrame:
     return chunks.where("note_path IS NOT NULL").groupBy("note_path").agg(F.max("mtime").alias("mtime"))
 
 
+def chunk_count(chunks: DataFrame) -> DataFrame:
+    """n: the number of different chunks."""
+    return chunks.where("chunk_id IS NOT NULL").agg(F.countDistinct("chunk_id").alias("n"))
+
+
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     """id, query, near, mode, category, expected of a benchmark file (one JSON array, or an object with queries)."""
     raw = spark.read.option("multiLine", True).json(path)

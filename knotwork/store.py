@@ -6,11 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _made: dict[str, list[DataFrame]] = {}
+_kept: dict[tuple, dict[str, DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def kept(spark: SparkSession, key: tuple, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Written tables by key, built once in a session; built again if one of them was deleted."""
+    at = (spark.sparkContext.applicationId, *key)
+    files = Files(spark)
+    if at not in _kept or not all(files.exists(df._knotwork_path) for df in _kept[at].values()):
+        _kept[at] = build()
+    return _kept[at]
+
+
 def drop_all_written(spark: SparkSession) -> int:
     """Deletes every table that written() made in this session; call it when their results are stored. How many."""
     made = _made.pop(spark.sparkContext.applicationId, [])
@@ -73,6 +84,11 @@ class Files:
         fs, p = self._at(path)
         return fs.exists(p)
 
+    def changed(self, path: str) -> int:
+        """When the file or folder was last changed, in milliseconds; 0 if there is none."""
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else 0
+
     def names(self, folder: str) -> list[str]:
         fs, p = self._at(folder)
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
