@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -70,10 +71,9 @@ class Store:
     def write(self, tables: dict[str, DataFrame]) -> None:
         """A version with these tables; those not given are the ones of the version before."""
         number, places = self.manifest()
-        new = {}
-        for name, df in tables.items():
-            new[name] = f"{name}-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.folder}/{new[name]}")
+        new = {name: f"{name}-{uuid.uuid4().hex}" for name in tables}
+        with ThreadPoolExecutor(len(TABLES)) as pool:  # the jobs of one version share the cluster
+            list(pool.map(lambda name: tables[name].write.parquet(f"{self.folder}/{new[name]}"), new))
         if not self.files.create(f"{self.folder}/manifest-{number + 1:010d}.json", json.dumps(places | new)):
             for path in new.values():
                 self.files.delete(f"{self.folder}/{path}")
