@@ -145,6 +145,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def scaled(vector: str) -> Column:
+    """The unit vector; the norm is made once a row, not for each number."""
+    return F.transform(F.array(norm(F.col(vector))), lambda n: F.transform(vector, lambda x: x.cast("double") / n))[0]
+
+
 def distance(a: Column, b: Column, metric: str = "l2") -> Column:
     """l2, l2sq or cosine."""
     if metric == "cosine":

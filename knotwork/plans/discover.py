@@ -43,20 +43,19 @@ def near_pairs(links: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, ["b", "at"]).select("a", "b").distinct()
 
 
-def gaps(chunks: DataFrame, graph: g.Graph, inferred: DataFrame | None = None, dismissed: DataFrame | None = None, focus: str | None = None, settings: Settings | None = None, floor: float | None = None, knn: int | None = rel.KNN, dim: int = 64, with_evidence: bool = True) -> DataFrame:
+def gaps(chunks: DataFrame, graph: g.Graph, inferred: DataFrame | None = None, dismissed: DataFrame | None = None, focus: str | None = None, settings: Settings | None = None, floor: float | None = None, knn: int | None = rel.KNN, dim: int = 64, with_evidence: bool = True, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Scored pairs a < b of related notes that are more than graph_distance_threshold hops apart, have no inferred relation
-    and were not dismissed. chunks(id, note, text, vector); inferred(src, dst, ...); dismissed(key)."""
+    and were not dismissed. chunks(id, note, text, vector); inferred(src, dst, ...); dismissed(key); known is rel.related() where it is there already."""
     s = settings or Settings()
     floor = s.cosine_floor if floor is None else floor
-    near, full = rel.near_and_full(chunks, floor, knn, focus, dim)
-    near = written(near, "near-chunks")
+    near, weights = known or rel.related(chunks, floor, knn, focus, dim)
     pairs = near.select("a", "b").distinct()
     pairs = pairs.join(near_pairs(graph.links, pairs, max(1, min(5, s.graph_distance_threshold))), ["a", "b"], "left_anti")
     if inferred is not None:
         pairs = pairs.join(g.inferred_pairs(inferred), ["a", "b"], "left_anti")
     if dismissed is not None:
         pairs = pairs.withColumn("key", pair_key("a", "b")).join(dismissed.select("key"), "key", "left_anti").drop("key")
-    scored = rel.score_pairs(pairs, chunks, floor, s.reuse_discount, dim, with_evidence, None if focus else near, full)
+    scored = rel.score_pairs(pairs, chunks, floor, s.reuse_discount, dim, with_evidence, near, weights)
     return scored.where(F.col("final_score") >= s.similarity_threshold)
 
 
@@ -181,9 +180,12 @@ def note_flags(found: DataFrame, inferred: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), F.coalesce("has_contradiction", F.lit(False)).alias("has_contradiction"))
 
 
-def best_evidence(found: DataFrame, chunks: DataFrame, floor: float = rel.FLOOR, dim: int = 64) -> DataFrame:
-    """found with best_i, best_j and best_sim: the two chunks of each pair that are nearest (of equal ones the smallest ids)."""
-    sides = rel.all_sides(found.select("a", "b").distinct(), chunks, dim)
+def best_evidence(found: DataFrame, chunks: DataFrame | None, dim: int = 64, near: DataFrame | None = None) -> DataFrame:
+    """found with best_i, best_j and best_sim: the two chunks of each pair that are nearest (of equal ones the smallest ids).
+
+    Of related notes these are among near, their chunk pairs of the floor (rel.related()); without it each chunk of a meets each of b.
+    """
+    sides = rel.all_sides(found.select("a", "b").distinct(), chunks, dim) if near is None else near
     best = sides.groupBy("a", "b").agg(F.min(F.struct((-F.round("sim", 5)).alias("down"), "i", "j")).alias("x"))
     return found.join(best.select("a", "b", F.col("x.i").alias("best_i"), F.col("x.j").alias("best_j"), (-F.col("x.down")).alias("best_sim")), ["a", "b"], "left")
 

@@ -372,13 +372,13 @@ def evidence_matching(spark, d):
 SELECT f.a, f.b, final_score, coalesce(min(h), -1)::INT AS hops FROM far f LEFT JOIN walk w ON w.a = f.a AND w.at = f.b GROUP BY f.a, f.b, final_score""")
 def gap_hops(spark, d):
     graph = v.graph_now(spark, d)
-    found = written(discover.gaps(written(v.unit_chunks(spark, d), "unit"), graph, with_evidence=False), "gaps")
+    found = written(discover.gaps(v.unit_chunks(spark, d), graph, with_evidence=False), "gaps")
     return discover.enrich(found, graph.links).select("a", "b", "final_score", "hops")
 
 
 @query(v._FAR + ", e AS (SELECT unnest([a, b]) AS path FROM far), r AS (SELECT unnest([src, dst]) AS path, rel_type FROM (SELECT DISTINCT src, dst, CASE WHEN is_embed THEN 'EXTENDS' WHEN anchor <> '' THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS rel_type FROM links WHERE src <> dst)), x AS (SELECT path, count(*) AS n_gaps FROM e GROUP BY 1), y AS (SELECT path, bool_or(rel_type = 'CONTRADICTS') AS c FROM r GROUP BY 1) SELECT path, coalesce(n_gaps, 0) AS n_gaps, coalesce(c, false) AS has_contradiction FROM x FULL JOIN y USING (path)")
 def note_flags(spark, d):
-    found = discover.gaps(written(v.unit_chunks(spark, d), "unit"), v.graph_now(spark, d), with_evidence=False)
+    found = discover.gaps(v.unit_chunks(spark, d), v.graph_now(spark, d), with_evidence=False)
     return discover.note_flags(found, v._inferred(spark, d))
 
 
@@ -410,6 +410,5 @@ def relations_classified(spark, d):
 @query(_SCORED + """, e AS (SELECT a, b, min(struct_pack(d := -round(sim, 5), i := i, j := j)) AS x FROM m GROUP BY a, b) SELECT a, b, x.i AS best_i, x.j AS best_j, round(-x.d, 4) AS best_sim FROM e""")
 def best_evidence(spark, d):
     """The nearest two chunks of each pair of related notes."""
-    unit = written(v.unit_chunks(spark, d), "unit")
-    pairs = v.rel.candidate_notes(unit)
-    return discover.best_evidence(pairs, unit).select("a", "b", "best_i", "best_j", F.round("best_sim", 4).alias("best_sim"))
+    near = v.rel.near_chunks(v.unit_chunks(spark, d))
+    return discover.best_evidence(near.select("a", "b").distinct(), None, near=near).select("a", "b", "best_i", "best_j", F.round("best_sim", 4).alias("best_sim"))

@@ -76,7 +76,7 @@ def chunks_now(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 def unit_chunks(spark: SparkSession, d: str) -> DataFrame:
     """id, note, text and unit vector of the chunks with a usable vector."""
     rows = table(spark, d, "chunks", "chunk_id", "note_path", "text", "vector").where("chunk_id IS NOT NULL AND trim(note_path) <> ''").where(r.usable("vector", 64)).dropDuplicates(["chunk_id"])
-    return rows.select(F.col("chunk_id").alias("id"), F.col("note_path").alias("note"), "text", F.transform("vector", lambda x: x.cast("double") / r.norm(F.col("vector"))).alias("vector"))
+    return rows.select(F.col("chunk_id").alias("id"), F.col("note_path").alias("note"), "text", r.scaled("vector").alias("vector"))
 
 
 def library(spark: SparkSession, d: str) -> Library:
@@ -484,14 +484,13 @@ scored AS (SELECT a, b, round(ca, 4) AS cover_a, round(cb, 4) AS cover_b, round(
 
 @query(_PAIR + "SELECT a, b FROM pairs")
 def related_candidates(spark, d):
-    return rel.candidate_notes(written(unit_chunks(spark, d), "unit"))
+    return rel.candidate_notes(unit_chunks(spark, d))
 
 
 def _scored(spark, d, with_evidence: bool) -> DataFrame:
-    unit = written(unit_chunks(spark, d), "unit")
-    near, full = rel.near_and_full(unit)
-    near = written(near, "near-chunks")
-    return rel.score_pairs(near, unit, with_evidence=with_evidence, near=near, full=full)
+    unit = unit_chunks(spark, d)
+    near, weights = rel.related(unit)
+    return rel.score_pairs(near, unit, with_evidence=with_evidence, near=near, weights=weights)
 
 
 @query(_SCORE + "SELECT a, b, cover_a, cover_b FROM scored")
@@ -527,7 +526,7 @@ far AS (SELECT s.* FROM scored s LEFT JOIN two t ON t.a = s.a AND t.b = s.b WHER
 
 @query(_FAR + "SELECT a, b, final_score FROM far")
 def gap_antijoin(spark, d):
-    return discover.gaps(written(unit_chunks(spark, d), "unit"), graph_now(spark, d), with_evidence=False).select("a", "b", "final_score")
+    return discover.gaps(unit_chunks(spark, d), graph_now(spark, d), with_evidence=False).select("a", "b", "final_score")
 
 
 @query(_FAR + ", f AS (SELECT min(a) AS a FROM far) SELECT a, b, final_score FROM far WHERE a = (SELECT a FROM f) OR b = (SELECT a FROM f)")
@@ -540,15 +539,16 @@ def gap_focus_scan(spark, d):
 @query(_FAR + r"SELECT a, b, final_score FROM far WHERE regexp_replace(a, '[^/]*$', '') <> regexp_replace(b, '[^/]*$', '')")
 def dismissed_filter(spark, d):
     """Pairs of one folder count as dismissed."""
-    unit = written(unit_chunks(spark, d), "unit")
-    same = rel.candidate_notes(unit).where(text.parent("a") == text.parent("b")).select(text.pair_key("a", "b").alias("key"))
-    return discover.gaps(unit, graph_now(spark, d), dismissed=same, with_evidence=False).select("a", "b", "final_score")
+    unit = unit_chunks(spark, d)
+    known = rel.related(unit)
+    same = known[0].select("a", "b").distinct().where(text.parent("a") == text.parent("b")).select(text.pair_key("a", "b").alias("key"))
+    return discover.gaps(unit, graph_now(spark, d), dismissed=same, with_evidence=False, known=known).select("a", "b", "final_score")
 
 
 @query()
 def gaps_enriched(spark, d):
     graph = graph_now(spark, d)
-    found = written(discover.gaps(written(unit_chunks(spark, d), "unit"), graph), "gaps")
+    found = written(discover.gaps(unit_chunks(spark, d), graph), "gaps")
     return discover.enrich(found, graph.links).withColumn("bridge_path", F.array_join("bridge_path", " > "))
 
 

@@ -161,6 +161,39 @@ def test_relatedness(spark, m, n, shared, kind, matches):
     assert abs(s["cover_a"] - ca) < 1e-4 and abs(s["cover_b"] - cb) < 1e-4 and abs(s["final_score"] - final) < 1e-4
 
 
+def brute_related(notes, ids, x, k, floor):
+    """Chunk pairs of the floor of all related notes, one by one."""
+    s = x @ x.T
+    pairs = set()
+    for p in range(len(x)):
+        near = sorted((-round(s[p, q], 6), notes[q], ids[q], q) for q in range(len(x)) if q != p and s[p, q] >= floor)
+        pairs |= {tuple(sorted((notes[p], notes[q]))) for *_, q in near[: k - 1] if notes[p] != notes[q]}
+    return pairs, {(notes[p], notes[q], ids[p], ids[q]) for p in range(len(x)) for q in range(len(x)) if notes[p] < notes[q] and s[p, q] >= floor and (notes[p], notes[q]) in pairs}
+
+
+def test_related_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(rel, "BLOCK_ROWS", 30)
+    rng = np.random.default_rng(3)
+    # one note of many near chunks and copies, so that most lists of nearest chunks are full
+    x = unit(np.eye(64)[rng.integers(0, 3, 60)] + 0.09 * rng.standard_normal((60, 64)))
+    x[40:45] = x[40]
+    notes = ["N%d" % (0 if i < 25 else i // 6) for i in range(60)]
+    ids = [f"{i:02}" for i in range(60)]
+    chunks = spark.createDataFrame([(i, n, "text", v.tolist()) for i, n, v in zip(ids, notes, x)], "id string, note string, text string, vector array<double>")
+    pairs, strong = brute_related(notes, ids, x, 4, 0.65)
+    near, weights = rel.related(chunks, 0.65, 4)
+    got = near.collect()
+    assert {(r["a"], r["b"], r["i"], r["j"]) for r in got} == strong and len(got) == len(strong) and weights.count() == 60
+    for focus in ("N7", "none"):
+        rows = rel.near_chunks(chunks, 0.65, 4, focus).collect()
+        assert {(r["a"], r["b"], r["i"], r["j"]) for r in rows} == {r for r in strong if focus in r[:2]}
+    best = {(r["a"], r["b"]): (r["best_i"], r["best_j"]) for r in discover.best_evidence(near.select("a", "b").distinct(), None, near=near).collect()}
+    s = x @ x.T
+    assert best == {(a, b): min((-round(s[int(i), int(j)], 5), i, j) for m, n, i, j in strong if (m, n) == (a, b))[1:] for a, b in pairs}
+    alone = rel.score_pairs(near, chunks).drop("summary").orderBy("a", "b").collect()
+    assert alone == rel.score_pairs(near, chunks, near=near, weights=weights).drop("summary").orderBy("a", "b").collect()
+
+
 def test_gaps(spark):
     base = np.zeros((4, 64))
     base[0, 0] = 1
