@@ -7,7 +7,9 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,16 @@ def near_pairs(links: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     half the way, so a hub is met in the middle instead of being walked through.
     """
     edges = g.neighbours(links)
+    if most == 2:
+        # both ends at once: the end with fewer links is spelled out, the other one is only looked up
+        edges = written(edges, "edges")
+        degree = edges.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
+        ends = pairs.select("a", "b").join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+        less = F.col("da") <= F.col("db")
+        turned = ends.select("a", "b", F.when(less, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("y"))
+        steps = turned.join(edges.toDF("x", "at"), "x")
+        two = steps.join(edges.toDF("at", "y"), ["at", "y"], "left_semi").select("a", "b")
+        return two.unionByName(steps.where(F.col("at") == F.col("y")).select("a", "b")).distinct()
     half = (most + 1) // 2
 
     def reach(name: str, steps: int) -> DataFrame:
@@ -59,29 +71,87 @@ def gaps(chunks: DataFrame, graph: g.Graph, inferred: DataFrame | None = None, d
     return scored.where(F.col("final_score") >= s.similarity_threshold)
 
 
-def enrich(found: DataFrame, links: DataFrame, most: int = 10) -> DataFrame:
-    """found with hops and bridge_path of each pair (-1 and empty if farther than most): all pairs search at once.
-
-    From every distinct a, levels grow together and keep the smallest way to each note; found pairs leave the search.
+def _numbered(edges: DataFrame) -> DataFrame:
+    """note and n: the notes of edges(u, v), numbered from 0 in their order."""
+    lined = edges.select(F.col("u").alias("note")).distinct().repartitionByRange("note").sortWithinPartitions("note")
+    rows = written(lined.withColumn("at", F.monotonically_increasing_id()), "numbered")
+    part, own = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, n = {}, 0
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before[r["part"]], n = n, n + r["count"]
+    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0).cast("bigint"), F.lit(0))
+    return rows.select("note", (start[part] + own).cast("int").alias("n"))
+
+
+def _walks(shared, most: int, ways: bool):
+    """Distances of pairs(a, b, x, y), x and y the numbers of a and b, and the smallest shortest way: 64 notes x search at once, each a bit of a word for every note."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, to = shared.value
+        around = lambda n: to[starts[n] : starts[n + 1]]
+
+        def way(levels: list[np.ndarray], bit: np.uint64, x: int, y: int) -> list[int]:
+            back = [np.array([y])]
+            for front in reversed(levels[1:-1]):
+                near = np.unique(np.concatenate([around(n) for n in back[-1]]))
+                back.append(near[(front[near] & bit) != 0])
+            out = [x]
+            for some in reversed(back):
+                out.append(int(np.intersect1d(around(out[-1]), some).min()))
+            return out
+
+        for t in batches:
+            if not len(t):
+                continue
+            x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
+            hops, found = np.full(len(x), -1, np.int32), [[] for _ in x]
+            asked, place = np.unique(x, return_inverse=True)
+            for first in range(0, len(asked), 64):
+                own = asked[first : first + 64]
+                mine = np.flatnonzero((place >= first) & (place < first + 64))
+                bits = np.uint64(1) << (place[mine] - first).astype(np.uint64)
+                seen = np.zeros(len(starts) - 1, np.uint64)
+                seen[own] = np.uint64(1) << np.arange(len(own), dtype=np.uint64)
+                levels, open_ = [seen.copy()], np.ones(len(mine), bool)
+                for h in range(1, most + 1):
+                    front = np.bitwise_or.reduceat(levels[-1][to], starts[:-1]) & ~seen
+                    seen |= front
+                    levels.append(front)
+                    hit = np.flatnonzero(open_ & ((front[y[mine]] & bits) != 0))
+                    hops[mine[hit]] = h
+                    open_[hit] = False
+                    if ways:
+                        for k in hit:
+                            found[mine[k]] = way(levels, bits[k], int(x[mine[k]]), int(y[mine[k]]))
+                    if not open_.any() or not front.any():
+                        break
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(hops), pa.array(found, pa.list_(pa.int32()))], ["a", "b", "hops", "way"])
+
+    return run
+
+
+def enrich(found: DataFrame, links: DataFrame, most: int = 10, ways: bool = True) -> DataFrame:
+    """found with hops and bridge_path of each pair (-1 and empty if farther than most; the path empty too without ways).
+
+    The smallest in order of the notes of the shortest ways. The graph goes to all tasks as two arrays of numbers, 4 bytes for each direction of
+    a link; 64 notes search in one pass over it, so no rows are made of the notes that are passed.
     """
     edges = written(g.neighbours(links), "edges")
-    open_ = written(found.select("a", "b").distinct(), "open-pairs")
-    front = open_.select("a").distinct().select("a", F.col("a").alias("at"), F.array("a").alias("way"))
-    seen = front.select("a", "at")
-    done = None
-    for h in range(1, most + 1):
-        step = front.join(edges, F.col("at") == F.col("u")).groupBy("a", F.col("v").alias("next")).agg(F.min("way").alias("way"))
-        step = step.select("a", F.col("next").alias("at"), F.concat("way", F.array("next")).alias("way")).join(seen, ["a", "at"], "left_anti")
-        front = written(step, "ways")
-        hit = open_.join(front.withColumnRenamed("at", "b"), ["a", "b"]).select("a", "b", F.lit(h).alias("hops"), "way")
-        done = hit if done is None else done.unionByName(hit)
-        open_ = written(open_.join(front.select("a", F.col("at").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
-        live = open_.select("a").distinct()
-        if open_.isEmpty() or front.isEmpty():
-            break
-        seen = seen.unionByName(front.select("a", "at"))
-        front = front.join(live, "a", "left_semi")
-    return found.join(done, ["a", "b"], "left").withColumn("hops", F.coalesce("hops", F.lit(-1))).withColumn("bridge_path", F.coalesce("way", F.array().cast("array<string>"))).drop("way")
+    names = written(_numbered(edges), "names")
+    at = lambda c, n: names.select(F.col("note").alias(c), F.col("n").alias(n))
+    t = edges.join(at("u", "p"), "u").join(at("v", "q"), "v").select("p", "q").toArrow()
+    p, q = (t.column(c).to_numpy() for c in ("p", "q"))
+    order = np.lexsort((q, p))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(p, minlength=1))]).astype(np.int64)
+    sc = found.sparkSession.sparkContext
+    shared = sc.broadcast((starts, q[order].astype(np.int32)))
+    pairs = found.select("a", "b").distinct().join(at("a", "x"), "a").join(at("b", "y"), "b")
+    lined = pairs.repartition(max(8, 2 * sc.defaultParallelism), "x").sortWithinPartitions("x")
+    done = written(lined.mapInArrow(_walks(shared, most, ways), "a string, b string, hops int, way array<int>"), "walks")
+    shared.destroy()
+    steps = done.select("a", "b", F.posexplode("way").alias("k", "n")).join(names, "n").groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("k", "note"))).alias("s"))
+    out = found.join(done.select("a", "b", "hops"), ["a", "b"], "left").join(steps.select("a", "b", F.col("s.note").alias("bridge_path")), ["a", "b"], "left") if ways else found.join(done.select("a", "b", "hops"), ["a", "b"], "left").withColumn("bridge_path", F.lit(None))
+    return out.withColumn("hops", F.coalesce("hops", F.lit(-1))).withColumn("bridge_path", F.coalesce(F.col("bridge_path").cast("array<string>"), F.array().cast("array<string>")))
 
 
 class Provider(Protocol):

@@ -373,7 +373,7 @@ SELECT f.a, f.b, final_score, coalesce(min(h), -1)::INT AS hops FROM far f LEFT
 def gap_hops(spark, d):
     graph = v.graph_now(spark, d)
     found = written(discover.gaps(v.unit_chunks(spark, d), graph, with_evidence=False), "gaps")
-    return discover.enrich(found, graph.links).select("a", "b", "final_score", "hops")
+    return discover.enrich(found, graph.links, ways=False).select("a", "b", "final_score", "hops")
 
 
 @query(v._FAR + ", e AS (SELECT unnest([a, b]) AS path FROM far), r AS (SELECT unnest([src, dst]) AS path, rel_type FROM (SELECT DISTINCT src, dst, CASE WHEN is_embed THEN 'EXTENDS' WHEN anchor <> '' THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS rel_type FROM links WHERE src <> dst)), x AS (SELECT path, count(*) AS n_gaps FROM e GROUP BY 1), y AS (SELECT path, bool_or(rel_type = 'CONTRADICTS') AS c FROM r GROUP BY 1) SELECT path, coalesce(n_gaps, 0) AS n_gaps, coalesce(c, false) AS has_contradiction FROM x FULL JOIN y USING (path)")

@@ -194,6 +194,20 @@ def test_related_is_whole(spark, monkeypatch):
     assert alone == rel.score_pairs(near, chunks, near=near, weights=weights).drop("summary").orderBy("a", "b").collect()
 
 
+def test_ways_through_a_hub(spark):
+    # a hub with most links, two shortest ways of which the smaller counts, and a pair out of reach; more than 64 notes ask
+    notes = [f"n{i:03}" for i in range(150)]
+    links = [("hub", x) for x in notes] + [("n000", "aim"), ("n001", "aim"), ("x1", "x2"), ("n149", "tail")]
+    made = spark.createDataFrame([(p, q, "", "", False) for p, q in links], "src string, dst string, anchor string, alias string, is_embed boolean")
+    pairs = spark.createDataFrame([*[("aim", n) for n in notes[2:5]], *[(n, "tail") for n in notes[:100]], ("aim", "x1"), ("aim", "none")], "a string, b string")
+    got = {(r["a"], r["b"]): (r["hops"], r["bridge_path"]) for r in discover.enrich(pairs, made).collect()}
+    assert got["aim", "n003"] == (3, ["aim", "n000", "hub", "n003"]) and got["n099", "tail"] == (3, ["n099", "hub", "n149", "tail"])
+    assert got["aim", "x1"] == got["aim", "none"] == (-1, []) and len(got) == 105
+    assert {r["hops"] for r in discover.enrich(pairs, made, 2, ways=False).collect()} == {-1}
+    near = {(r["a"], r["b"]) for r in discover.near_pairs(made, spark.createDataFrame([("aim", "hub"), ("hub", "n001"), ("aim", "n002"), ("n003", "n004")], "a string, b string"), 2).collect()}
+    assert near == {("aim", "hub"), ("hub", "n001"), ("n003", "n004")}
+
+
 def test_gaps(spark):
     base = np.zeros((4, 64))
     base[0, 0] = 1
