@@ -488,9 +488,14 @@ def related_candidates(spark, d):
 
 
 def _scored(spark, d, with_evidence: bool) -> DataFrame:
-    unit = unit_chunks(spark, d)
-    near, weights = rel.related(unit)
-    return rel.score_pairs(near, unit, with_evidence=with_evidence, near=near, weights=weights)
+    # texts are only counted, before copies of rows are dropped; notes are numbers until the pairs are scored
+    rows = table(spark, d, "chunks", "chunk_id", "note_path", "text", "vector").where("chunk_id IS NOT NULL AND trim(note_path) <> ''").where(r.usable("vector", 64))
+    unit = rows.select("chunk_id", "note_path", "vector", text.word_estimate(F.coalesce("text", F.lit(""))).cast("double").alias("words")).dropDuplicates(["chunk_id"])
+    unit = unit.select(F.col("chunk_id").alias("id"), F.col("note_path").alias("note"), "words", r.scaled("vector").alias("vector"))
+    near, weights, names = rel.related(unit, coded=True)
+    scored = written(rel.score_pairs(near, unit, with_evidence=with_evidence, near=near, weights=weights), "scored")
+    name = lambda n, note: names.select(F.col("n").alias(n), F.col("note").alias(note))
+    return scored.withColumnsRenamed({"a": "a_n", "b": "b_n"}).join(name("a_n", "a"), "a_n").join(name("b_n", "b"), "b_n").select(*scored.columns)
 
 
 @query(_SCORE + "SELECT a, b, cover_a, cover_b FROM scored")

@@ -194,6 +194,26 @@ def test_related_is_whole(spark, monkeypatch):
     assert alone == rel.score_pairs(near, chunks, near=near, weights=weights).drop("summary").orderBy("a", "b").collect()
 
 
+def test_pairs_are_kept_by_numbers_and_copies_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(rel, "MANY_COPIES", 3)
+    monkeypatch.setattr(rel, "BLOCK_ROWS", 4)
+    made, write = [], rel.written
+    monkeypatch.setattr(rel, "written", lambda df, tag: made.append((tag, {t for _, t in df.dtypes})) or write(df, tag))
+    x = unit(np.random.default_rng(7).standard_normal((10, 64)))[[i // 4 for i in range(40)]]
+    notes, ids = ["N%d" % (i % 4) for i in range(40)], [f"{i:02}" for i in range(40)]
+    chunks = spark.createDataFrame([(i, n, "text", v.tolist()) for i, n, v in zip(ids, notes, x)], "id string, note string, text string, vector array<double>")
+    near, weights, names = rel.related(chunks, 0.65, 4, coded=True)
+    assert [t for t, _ in made].count("once") == 1 and [t for t, _ in made].count("floor-pairs") >= 3
+    assert all("string" not in types for tag, types in made if tag in ("placed-pairs", "strong"))
+    scored = rel.score_pairs(near, chunks, near=near, weights=weights)
+    note = {r["n"]: r["note"] for r in names.collect()}
+    assert {(note[r["a"]], note[r["b"]]) for r in near.collect()} == brute_related(notes, ids, x, 4, 0.65)[0]
+    spelled, w = rel.related(chunks, 0.65, 4)
+    assert {(r["a"], r["b"], r["i"], r["j"]) for r in spelled.collect()} == brute_related(notes, ids, x, 4, 0.65)[1]
+    alone = {tuple(r) for r in rel.score_pairs(spelled, chunks, near=spelled, weights=w).collect()}
+    assert {(note[r["a"]], note[r["b"]], *r[2:]) for r in scored.collect()} == alone and len(alone) == 6
+
+
 def test_ways_through_a_hub(spark):
     # a hub with most links, two shortest ways of which the smaller counts, and a pair out of reach; more than 64 notes ask
     notes = [f"n{i:03}" for i in range(150)]
