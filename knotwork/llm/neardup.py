@@ -28,7 +28,7 @@ SHINGLE, LEAST_WORDS, LEAST_SIMILARITY = 3, 20, 0.5
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.999 at 0.55, 0.99995 at 0.6.
 BANDS, ROWS = 72, 4
 SEGMENTS = 64
-#: Classes of a band taken together in one step; those of a larger band must share a second one.
+#: Classes of a band taken together in one step; those of a larger band are searched by the grid range-join.
 BLOCK = 64
 #: A band with a greater share of all rows is never brought together in one task (each text has BANDS rows).
 HOT_SHARE = 0.001
@@ -267,8 +267,20 @@ def grid_join(rows: DataFrame, embedded: DataFrame, least: float) -> DataFrame:
     return steps.groupBy("band", "i", "j").applyInArrow(_grid_pairs(least), "a bigint, b bigint")
 
 
+def whole_pairs(sketched: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """Distinct pairs of classes (a < b) that share a band, however large, and that the bound lets pass in large ones; sketched(class, bands, counts, n).
+
+    The classes of a large band are searched by grid_join(), all against all: a pair that shares only that band is found too.
+    """
+    pairs, large = _split(sketched.select(F.explode("bands").alias("band"), "class"), "band-pairs")
+    large = written(large, "large-bands")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(grid_join(large, sketched.select("class", "counts", "n").dropDuplicates(["class"]), least))
+    return pairs.where("a <> b").distinct()
+
+
 def candidate_pairs(sketched: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """Distinct pairs of classes (a < b) that share a band; sketched(class, bands, counts, n).
+    """A quick part of whole_pairs(), without the pairs that share one large band alone; no result is made from it.
 
     The classes of a large band, which boilerplate may bring together, must share a second band to be a pair, so such a band makes
     as many rows as it has classes, not their square. Those that share two large bands are searched by grid_join().
@@ -334,7 +346,7 @@ def similar_classes(chunks: DataFrame, least: float = LEAST_SIMILARITY) -> tuple
     embedded = sketch.select("class", "counts", "n").dropDuplicates(["class"])
     ea = embedded.select(F.col("class").alias("a"), F.col("counts").alias("ca"), F.col("n").alias("na"))
     eb = embedded.select(F.col("class").alias("b"), F.col("counts").alias("cb"), F.col("n").alias("nb"))
-    near = candidate_pairs(sketch, least).join(ea, "a").join(eb, "b").select("a", "b", "ca", "cb", "na", "nb")
+    near = whole_pairs(sketch, least).join(ea, "a").join(eb, "b").select("a", "b", "ca", "cb", "na", "nb")
     pairs = written(near.mapInArrow(_bounded(least), "a bigint, b bigint"), "candidates")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     members = sketched.select("chunk_id", "class").distinct()

@@ -62,6 +62,22 @@ def test_a_band_of_boilerplate_makes_no_square(spark):
     assert sorted(map(tuple, n.candidate_pairs(df).collect())) == [(i, i + 1) for i in range(0, k, 2)]
 
 
+def test_pairs_of_one_large_band_are_found(spark, monkeypatch):
+    # each two texts share the first band and no other
+    sketch, calls = n.sketches, []
+
+    def one_band(chunks):
+        calls.append(1)
+        return sketch(chunks).withColumn("bands", n.F.expr("transform(bands, (x, i) -> IF(i = 0, 7L, xxhash64(class, i)))"))
+
+    monkeypatch.setattr(n, "sketches", one_band)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(f"c{k:03}", None, " ".join([*base[:58], f"end{k}", "z"]), 1) for k in range(n.BLOCK + 6)]
+    rows += [(f"d{k}", None, " ".join(f"v{k}x{i}" for i in range(60)), 1) for k in range(5)]
+    got = {(r["chunk_id_a"], r["chunk_id_b"]) for r in n.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == set(itertools.combinations([r[0] for r in rows if r[0][0] == "c"], 2)) and calls
+
+
 def test_grid_join_equals_the_bound_on_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(n, "GRID_ROWS", 7)
     rng = np.random.default_rng(4)
